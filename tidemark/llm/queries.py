@@ -1,9 +1,13 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
 from .packing import query_packing
+from .quality import query_quality
+from .topk import SQL_TOP_K, query_top_k
 
 QUERIES = {
     "op2_bin_slack_packing": query_packing,
+    "op4_adaptive_quality": query_quality,
+    "op9_pivot_top_k": query_top_k,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op9_pivot_top_k": SQL_TOP_K}

@@ -2,11 +2,13 @@
 
 from .packing import query_packing
 from .quality import query_quality
+from .secrets import query_secrets
 from .topk import SQL_TOP_K, query_top_k
 
 QUERIES = {
     "op2_bin_slack_packing": query_packing,
     "op4_adaptive_quality": query_quality,
+    "op6_owned_secrets": query_secrets,
     "op9_pivot_top_k": query_top_k,
 }
 

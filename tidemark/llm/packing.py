@@ -9,6 +9,7 @@ ranks inside their length (in small salted groups) and their places in the plan
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -17,51 +18,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import chunks, discard, table, written
+from .common import chunks, table, text_buffer, written
+from .token_ids import TokenMemo
 
 CAPACITY = 4096
 #: Pieces of one length and salt that are ranked in one window partition, about.
 RANK_GROUP = 256
-#: Words whose token ids a worker remembers.
-REMEMBERED_WORDS = 200_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+_MEMOS: dict[str, TokenMemo] = {}
+
+
+def worker_memo(tokenizer_file: str) -> TokenMemo:
+    """One for each Python worker and tokenizer."""
+    if tokenizer_file not in _MEMOS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        _MEMOS[tokenizer_file] = TokenMemo(Tokenizer.from_file(tokenizer_file))
+    return _MEMOS[tokenizer_file]
+
+
 def tokenizer_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """Pieces of at most `capacity` tokens of each document; a null text counts as empty and gives the end id alone.
 
-    Words between ASCII white space are encoded apart (the tokenizer drops white space and no token spans it), and
-    each worker remembers the ids of words that it has met.
+    The tokenizer drops white space and encodes its pieces apart, so each worker remembers the ids of pieces met before.
     """
 
     def pieces(batches):
-        from tokenizers import Tokenizer
-
-        tok, memo = Tokenizer.from_file(tokenizer_file), {}
         for batch in batches:
             for part in chunks(batch):
-                ids_of = part.column(0).to_pylist()
-                split = [(t or "").encode().split() for t in part.column(1).to_pylist()]
-                new = list({w for words in split for w in words if w not in memo})
-                if len(memo) + len(new) > REMEMBERED_WORDS:
-                    memo.clear()
-                    new = list({w for words in split for w in words})
-                for w, e in zip(new, tok.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-                    memo[w] = e.ids
-                rows = []
-                for doc, words in zip(ids_of, split):
-                    ids = [i for w in words for i in memo[w]]
-                    ids.append(end_id)
-                    x = np.array(ids, dtype="<u4")
-                    for k in range(0, len(x), capacity):
-                        raw = x[k : k + capacity].tobytes()
-                        rows.append((doc, k // capacity, k, len(raw) // 4, zlib.crc32(raw), raw))
-                columns = list(zip(*rows))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                ids, bounds = worker_memo(tokenizer_file).ids(*text_buffer(part.column(1)))
+                sizes = np.diff(bounds) + 1
+                ids = np.insert(ids, bounds[1:], end_id).astype("<u4")
+                count = -(-sizes // capacity)
+                doc = np.repeat(np.arange(len(part)), count)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+                start = piece * capacity
+                length = np.minimum(sizes[doc] - start, capacity)
+                first = (np.cumsum(sizes) - sizes)[doc] + start
+                raws = [ids[a:z].tobytes() for a, z in zip(first.tolist(), (first + length).tolist())]
+                columns = [part.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array([zlib.crc32(x) for x in raws], pa.int64()), pa.array(raws, pa.binary())]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
                 keep = len(names) if with_ids else len(names) - 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)][:keep], names=names[:keep])
+                yield pa.RecordBatch.from_arrays(columns[:keep], names=names[:keep])
 
     return docs.select("doc_id", "text").mapInArrow(pieces, PIECES + (", ids binary" if with_ids else ""))
 

@@ -1,13 +1,17 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
+from .neardup import query_near_duplicates
 from .packing import query_packing
+from .pii import query_pii
 from .quality import query_quality
 from .secrets import query_secrets
 from .topk import SQL_TOP_K, query_top_k
 
 QUERIES = {
     "op2_bin_slack_packing": query_packing,
+    "op3_shape_field_pii": query_pii,
     "op4_adaptive_quality": query_quality,
+    "op5_bag_minhash": query_near_duplicates,
     "op6_owned_secrets": query_secrets,
     "op9_pivot_top_k": query_top_k,
 }

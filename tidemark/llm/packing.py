@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import chunks, table, text_buffer, written
 from .token_ids import TokenMemo
@@ -168,7 +169,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rank_group: int = RANK_GRO
             kept = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "_rank"]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], names=[*columns, "sequence_id", "offset"])
 
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = T.StructType([*pieces.schema.fields, *(T.StructField(c, T.LongType()) for c in ("sequence_id", "offset"))])
     return ranked.mapInArrow(place, schema)
 
 

@@ -6,6 +6,7 @@ from .pii import query_pii
 from .quality import query_quality
 from .secrets import query_secrets
 from .topk import SQL_TOP_K, query_top_k
+from .toxicity import query_toxicity
 
 QUERIES = {
     "op2_bin_slack_packing": query_packing,
@@ -13,6 +14,7 @@ QUERIES = {
     "op4_adaptive_quality": query_quality,
     "op5_bag_minhash": query_near_duplicates,
     "op6_owned_secrets": query_secrets,
+    "op8_fuzzy_lexicon_toxicity": query_toxicity,
     "op9_pivot_top_k": query_top_k,
 }
 

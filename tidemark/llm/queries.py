@@ -1,5 +1,6 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
+from .maxent_lm import query_language_model
 from .neardup import query_near_duplicates
 from .packing import query_packing
 from .pii import query_pii
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_adaptive_quality": query_quality,
     "op5_bag_minhash": query_near_duplicates,
     "op6_owned_secrets": query_secrets,
+    "op7_hashed_maxent_lm": query_language_model,
     "op8_fuzzy_lexicon_toxicity": query_toxicity,
     "op9_pivot_top_k": query_top_k,
 }

@@ -38,11 +38,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, keep: str = "table") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+def written(df: DataFrame, keep: str = "table", rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    With `rows`, a bound of the row count, it is written as one file for each 100,000 rows, eight at least.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{keep}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(8, rows // 100_000))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

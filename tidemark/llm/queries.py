@@ -1,6 +1,8 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
+from .html_text import query_html
 from .maxent_lm import query_language_model
+from .mixing import query_mixing
 from .neardup import query_near_duplicates
 from .packing import query_packing
 from .pii import query_pii
@@ -10,6 +12,7 @@ from .topk import SQL_TOP_K, query_top_k
 from .toxicity import query_toxicity
 
 QUERIES = {
+    "op1_temperature_mixing": query_mixing,
     "op2_bin_slack_packing": query_packing,
     "op3_shape_field_pii": query_pii,
     "op4_adaptive_quality": query_quality,
@@ -18,6 +21,7 @@ QUERIES = {
     "op7_hashed_maxent_lm": query_language_model,
     "op8_fuzzy_lexicon_toxicity": query_toxicity,
     "op9_pivot_top_k": query_top_k,
+    "op10_layout_html": query_html,
 }
 
 ORACLE_SQL = {"op9_pivot_top_k": SQL_TOP_K}

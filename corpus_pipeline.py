@@ -1,14 +1,56 @@
-"""From raw documents to packed training sequences: each stage calls one operator."""
+"""From raw documents to packed training sequences: each stage calls one operator on all that the stage before kept."""
 
 from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm.common import shared_dir, table
+from tidemark.llm import mixing, neardup, packing, pii, toxicity
+from tidemark.llm.common import shared_dir, table, written
 
-STAGES: list = []
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the toxicity model does not reject; it learns from `labels`."""
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.where(F.col("tox_score") < toxicity.THRESHOLD).drop("tox_score")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near duplicates stays, that of the smallest doc_id; rows without doc_id stay."""
+    classes = neardup.duplicate_classes(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("_copy")).distinct()
+    kept = docs.join(classes.hint("merge"), docs["doc_id"] == classes["_copy"], "left_anti")
+    repeated = kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row, with personal data in its text replaced by its kind; n_chars is that of the new text."""
+    clean = pii.find(docs, pii.train(pii.labelled_table(spark)), redact=True)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row once at least; small sources' rows up to one and a half times on average."""
+    mixed = mixing.mix_sources(docs, target_entropy=0.95, repetition_limit=1.5, budget=None)
+    return mixed.select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all rows with their places in sequences; a row that the mix repeats is packed each time."""
+    pieces = written(packing.tokenizer_pieces(docs, public_tokenizers.path("word_bpe_49k.json")), "pieces")
+    return packing.pack(pieces)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("personal_data", redact_personal_data),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
 #: Learned scores, sampled signatures and subset sums have no SQL form.
 ORACLE_SQL = None

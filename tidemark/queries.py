@@ -157,8 +157,8 @@ def split_forming(spark, sf_dir):
 @query(f"""WITH {DAILY}, x AS (SELECT *, lag(close) OVER w AS c1, lag(close, 5) OVER w AS c5, row_number() OVER w AS n, avg(close) OVER t AS m, sum(volume) OVER t AS s, min(low) OVER t AS lo, max(high) OVER t AS hi, stddev_samp(close) OVER t AS sd, list(close) OVER t AS l
  FROM bars WINDOW w AS (PARTITION BY series ORDER BY ts), t AS (PARTITION BY series ORDER BY ts ROWS 19 PRECEDING)),
 y AS (SELECT *, avg(greatest(high - low, abs(high - c1), abs(low - c1)) / close) OVER (PARTITION BY series ORDER BY ts ROWS 19 PRECEDING) AS f FROM x)
-SELECT series, ts, round(close - c1, 6) AS diff, round(close / c5 - 1, 6) AS change5, round(CASE WHEN n >= 20 THEN m END, 6) AS mean20, round(CASE WHEN n >= 20 THEN s END, 6) AS sum20, round(CASE WHEN n >= 20 THEN lo END, 6) AS min20, round(CASE WHEN n >= 20 THEN hi END, 6) AS max20, round(CASE WHEN n >= 20 THEN sd END, 6) AS std20,
- round(CASE WHEN n >= 20 THEN CASE WHEN sd = 0 THEN 0 ELSE (close - m) / sd END END, 5) AS z20, round(CASE WHEN n >= 20 THEN (len(list_filter(l, lambda v: v < close)) + (len(list_filter(l, lambda v: v = close)) + 1) / 2) / 20 END, 6) AS rank20, round(greatest(high - low, abs(high - c1), abs(low - c1)), 6) AS tr, round(CASE WHEN n >= 20 THEN f END, 6) AS trf20 FROM y""")
+SELECT series, ts, close - c1 AS diff, round(close / c5 - 1, 6) AS change5, round(CASE WHEN n >= 20 THEN m END, 6) AS mean20, round(CASE WHEN n >= 20 THEN s END, 6) AS sum20, CASE WHEN n >= 20 THEN lo END AS min20, CASE WHEN n >= 20 THEN hi END AS max20, round(CASE WHEN n >= 20 THEN sd END, 6) AS std20,
+ round(CASE WHEN n >= 20 THEN CASE WHEN sd = 0 THEN 0 ELSE (close - m) / sd END END, 5) AS z20, round(CASE WHEN n >= 20 THEN (len(list_filter(l, lambda v: v < close)) + (len(list_filter(l, lambda v: v = close)) + 1) / 2) / 20 END, 6) AS rank20, greatest(high - low, abs(high - c1), abs(low - c1)) AS tr, round(CASE WHEN n >= 20 THEN f END, 6) AS trf20 FROM y""")
 def trailing_windows(spark, sf_dir):
     x = b.daily_bars(spark, sf_dir).withColumn("tr", k.true_range())
     c = F.col("close")
@@ -166,7 +166,7 @@ def trailing_windows(spark, sf_dir):
         "series", "ts", k.change(c).alias("diff"), k.pct_change(c, 5).alias("change5"), k.rolling_mean(c, 20).alias("mean20"), k.rolling_sum(F.col("volume"), 20).alias("sum20"), k.rolling_min(F.col("low"), 20).alias("min20"), k.rolling_max(F.col("high"), 20).alias("max20"),
         k.rolling_std(c, 20).alias("std20"), F.round(k.rolling_zscore(c, 20), 5).alias("z20"), k.rolling_percentile(c, 20).alias("rank20"), "tr", k.true_range_fraction(20).alias("trf20"),
     )
-    return rounded(x, "diff", "change5", "mean20", "sum20", "min20", "max20", "std20", "rank20", "tr", "trf20")
+    return rounded(x, "change5", "mean20", "sum20", "std20", "rank20", "trf20")
 
 
 EMA = """n AS (SELECT series, ts, close, row_number() OVER (PARTITION BY series ORDER BY ts) - 1 AS i FROM bars)"""
@@ -887,10 +887,10 @@ def _streamed(spark, df: DataFrame, name: str, slices: int = 4) -> tuple[DataFra
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/{name}"), at
 
 
-@query(f"WITH {HOURLY}, {PATTERN} SELECT series, ts, unnest(CASE WHEN up THEN ['exit_short', 'enter_long'] ELSE ['exit_long', 'enter_short'] END) AS side, close FROM f WHERE (up OR down) AND n > 2")
+@query(f"WITH {DAILY}, {PATTERN} SELECT series, ts, unnest(CASE WHEN up THEN ['exit_short', 'enter_long'] ELSE ['exit_long', 'enter_short'] END) AS side, close FROM f WHERE (up OR down) AND n > 2")
 def streamed_reversal_signals(spark, sf_dir):
     """Signals of the bar stream, in several micro-batches with state for each series; the SQL is the batch rule."""
-    x, at = _streamed(spark, b.hourly_bars(spark, sf_dir), "bars")
+    x, at = _streamed(spark, b.daily_bars(spark, sf_dir), "bars")
     out = stream.run_to_end(stream.reversal_signals(x), f"{at}/signals", f"{at}/state", ["series", "ts", "side"])
     return out.select("series", "ts", "side", "close")
 
@@ -913,7 +913,7 @@ def streamed_lifecycle(spark, sf_dir):
 def stream_equals_batch(spark, sf_dir):
     """Signals of the stream and of the batch rule that the other doesn't have, for each series (none)."""
     streamed = streamed_reversal_signals(spark, sf_dir)
-    x = strategies.turnaround_v1(b.hourly_bars(spark, sf_dir), warmup=2)
+    x = strategies.turnaround_v1(b.daily_bars(spark, sf_dir), warmup=2)
     sides = F.when(F.col("long_entry"), F.array(F.lit("exit_short"), F.lit("enter_long"))).otherwise(F.array(F.lit("exit_long"), F.lit("enter_short")))
     batch = x.where(F.col("long_entry") | F.col("short_entry")).select("series", "ts", F.explode(sides).alias("side"))
     d = align.signal_diff(streamed, batch).groupBy("series").agg(F.count("*").alias("differing"))

@@ -8,10 +8,9 @@ once. Hits inside quotation marks, or beside words that attribute speech, count
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -231,7 +230,10 @@ def split_remainder():
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """text and toxic of at most `rows` labelled texts outside the held-out fold, those of the lowest id hashes."""
     known = labels.where("doc_id is not null and toxic is not null").where(split_remainder() != 2).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
-    few = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "labelled")
+    known = written(known, "labels")
+    share = 1.2 * rows / max(known.count(), 1)  # so that few more than `rows` are sorted
+    few = known if share >= 1 else known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    few = written(few.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id").limit(rows), "labelled")
     return written(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", F.col("_toxic").alias("toxic")), "sample")
 
 
@@ -302,8 +304,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Toxici
                     code, _, starts, ends = tokens([t or ""])
                     raw = code.tobytes().decode("utf-32-le", "surrogatepass")
                     own = {raw[a:z] for a, z in zip(starts.tolist(), ends.tolist())}
-                    long = [w.encode() for w in own if len(w) > 8] or [w.encode() for w in own] or [b""]
-                    prints.append(f"{min(map(zlib.crc32, long))} {min(zlib.crc32(w[::-1]) for w in long)}")  # alike in near copies
+                    raws = [w.encode("utf-8", "surrogatepass") for w in own] or [b""]
+                    prints.append(" ".join(str(min(xxhash.xxh32_intdigest(w, seed) for w in raws)) for seed in range(4)))  # alike in near copies
                     own |= {f"^{w[:n]}" for w in own for n in STEM_SIZES if len(w) > n}
                     out.append(sorted(w for w in own if w in candidates))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string())), pa.array(prints, pa.string())], names=["terms", "print"])

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that numpy handles at once inside a task; it bounds a Python worker's memory.
 CHUNK_BYTES = 1 << 21
+#: Rows of an Arrow batch; whole texts of them are held at once, in the JVM and in Python.
+BATCH_ROWS = 2000
 
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -22,7 +24,15 @@ _BASE = 0x9E3779B97F4A7C15
 _WINDOW_KEYS = np.random.Generator(np.random.PCG64(77)).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS texts go to Python workers; a lower setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -44,6 +54,7 @@ def written(df: DataFrame, keep: str = "table", rows: int | None = None) -> Data
     With `rows`, a bound of the row count, it is written as one file for each 100,000 rows, eight at least.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/{keep}-{uuid.uuid4().hex}"
     (df if rows is None else df.coalesce(max(8, rows // 100_000))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

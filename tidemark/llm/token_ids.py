@@ -58,7 +58,7 @@ def pieces(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 class TokenMemo:
     """Ids of pieces by their hash, at most `most` pieces; then it starts anew."""
 
-    def __init__(self, tokenizer, most: int = 1_500_000):
+    def __init__(self, tokenizer, most: int = 1_000_000):
         self.tokenizer, self.most = tokenizer, most
         self.ends = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
         for token, i in tokenizer.get_vocab().items():

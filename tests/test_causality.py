@@ -46,3 +46,12 @@ def test_generators(spark, walk, name):
     build = lambda p: past(strategies.BUILDERS[name](spark.createDataFrame(p), **OPTIONS.get(name, {})), flags)
     a, b = build(pdf), build(poisoned(pdf, False))
     assert np.array_equal(a, b) and a[:, 0].sum() > 0
+
+
+def test_all_signals_equal_each_generator(spark, walk):
+    df, names = spark.createDataFrame(walk(300, 2)), ["turnaround_v2", "tsmom", "donchian", "trend_rider"]
+    tall = strategies.all_signals(df, names, **OPTIONS)
+    for n in names:
+        one = strategies.BUILDERS[n](df, **OPTIONS.get(n, {})).select("series", "ts", *strategies.FLAGS)
+        other = tall.where(f"strategy = '{n}'").select("series", "ts", *strategies.FLAGS)
+        assert one.exceptAll(other).isEmpty() and other.exceptAll(one).isEmpty()

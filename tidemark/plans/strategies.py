@@ -141,9 +141,14 @@ WARMUPS = {"turnaround_v1": 4000, "turnaround_v2": 4000, "sma_pullback": 40, "tr
 
 
 def all_signals(bars: DataFrame, names: list[str] | None = None, **options: dict) -> DataFrame:
-    """series, ts, strategy and flags of every generator in one tall table."""
-    out = None
-    for n in names or list(BUILDERS):
-        x = BUILDERS[n](bars, **options.get(n, {})).select("series", "ts", F.lit(n).alias("strategy"), *FLAGS)
-        out = x if out is None else out.unionByName(x)
-    return out
+    """series, ts, strategy and flags of every generator in one tall table.
+
+    The generators are put on one frame one after the other, so bars are read and shuffled once for all of them.
+    """
+    names, df = names or list(BUILDERS), bars
+    for n in names:
+        known = set(df.columns)
+        df = BUILDERS[n](df, **options.get(n, {}))
+        flags = F.struct(F.lit(n).alias("strategy"), *FLAGS).alias(f"_flags_{n}")
+        df = df.select(*[c for c in df.columns if c in known], flags)
+    return df.select("series", "ts", F.explode(F.array(*[f"_flags_{n}" for n in names])).alias("x")).select("series", "ts", "x.*")

@@ -286,7 +286,8 @@ def feature_availability(spark, sf_dir):
 
 def machine_frame(spark, sf_dir) -> DataFrame:
     """Inputs of the lifecycle with windows that the test tables' series fill."""
-    return features.lifecycle_frame(features.feature_frame(b.daily_bars(spark, sf_dir), 12, 48, 12, 48, 96, 12), 96)
+    x = features.lifecycle_frame(features.feature_frame(b.daily_bars(spark, sf_dir), 12, 48, 12, 48, 96, 12), 96)
+    return x.select("series", "ts", *PRICES, *features.LIFECYCLE, "measurable", "crowding_measured")
 
 
 LOOSE = lifecycle.Lifecycle(enter_strength=0.5, exit_strength=0.25, direction_floor=0.02, stability_floor=0.05, min_dwell=2, cooldown=3, exhaustion_dwell=4)
@@ -942,3 +943,116 @@ def streamed_funding_join(spark, sf_dir):
     s, at = _streamed(spark, b.hourly_bars(spark, sf_dir), "bars", 1)
     f, _ = _streamed(spark, b.settlements(spark, sf_dir).withColumn("ts", F.col("settled")), "funding", 1)
     return stream.run_to_end(stream.withheld_until_funded(s, f.drop("ts")), f"{at}/joined", f"{at}/state", ["series", "ts", "settled"])
+
+
+# parsers, sinks and audits -------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {FUNDING} SELECT series, epoch_us(settled) // 1000 AS ts_ms, round(1000 + rate, 9) AS open_interest, CASE WHEN (epoch_us(settled) // 1000) % 3 <> 0 THEN 5.5 END AS open_interest_usd FROM funding")
+def parse_open_interest(spark, sf_dir):
+    x, ms = b.settlements(spark, sf_dir), F.unix_millis("settled")
+    item = F.struct(F.col("series").alias("symbol"), ms.alias("timestamp"), F.format_string("%.12f", 1000 + F.col("rate")).alias("sumOpenInterest"), F.when(ms % 3 != 0, "5.5").otherwise(" ").alias("sumOpenInterestValue"))
+    out = b.parse_open_interest(x.groupBy("series").agg(F.to_json(F.collect_list(item)).alias("payload")))
+    return out.select("series", "ts_ms", F.round(F.col("open_interest").cast("double"), 9).alias("open_interest"), F.col("open_interest_usd").cast("double").alias("open_interest_usd"))
+
+
+@query(f"WITH {HOURLY} SELECT series, ts, open, high, low, close + 1 AS close, volume FROM bars")
+def parse_rows(spark, sf_dir):
+    """Rows as landed lists, each instant twice: the later one is kept."""
+    x = b.hourly_bars(spark, sf_dir)
+    row = lambda c: F.array(F.unix_millis("ts").cast("double"), *[F.col(p) for p in PRICES[:3]], c, F.col("volume"))
+    lists = x.groupBy("series", F.date_trunc("day", "ts").alias("day")).agg(F.to_json(F.concat(F.collect_list(row(F.col("close"))), F.collect_list(row(F.col("close") + 1)))).alias("payload"))
+    return b.parse_rows(lists.drop("day")).select("series", "ts", *PRICES)
+
+
+@query(f"WITH {DAILY}, {PATTERN} SELECT series, ts, 'enter_long' AS side, close FROM f WHERE up AND n > 100 AND year(ts) >= 1998")
+def append_only_signals(spark, sf_dir):
+    """What a second, overlapping batch really adds to an append-only sink."""
+    x = strategies.turnaround_v1(b.daily_bars(spark, sf_dir), warmup=100).where("long_entry").select("series", "ts", F.lit("enter_long").alias("side"), "close")
+    return b.append_new(x.where(F.year("ts") < 1998), x, ["series", "ts", "side"])
+
+
+@query(f"WITH {DAILY}, {PATTERN} SELECT series, ts, unnest(CASE WHEN up THEN [1, 2] ELSE [3, 4] END) AS id FROM f WHERE (up OR down) AND n > 100 AND series = 's1'")
+def signal_reader(spark, sf_dir):
+    x = strategies.turnaround_v1(b.daily_bars(spark, sf_dir), warmup=100).where("long_entry or short_entry")
+    rows = x.select("series", "ts", F.explode(F.when(F.col("long_entry"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(3), F.lit(4)))).alias("id"))
+    return b.load_signals(rows, series="s1")
+
+
+@query()
+def reason_rows(spark, sf_dir):
+    """Reasons fit to be stored, for each series: equal lengths, no NaN, nulls allowed."""
+    x = why(spark, sf_dir)
+    bad = x.where(F.dayofmonth("ts") == 5).withColumn("feature_names", F.slice("feature_names", 1, 1))
+    return b.reasons_valid(x.unionByName(bad)).groupBy("series").agg(F.count("*").alias("rows"))
+
+
+@query(f"WITH {DAILY} SELECT series, count(*) AS bars FROM bars GROUP BY series")
+def run_artifacts(spark, sf_dir):
+    """A run's tables written under its folder and read again."""
+    at = _folder(spark)
+    b.write_run(at, "r1", {"equity": b.daily_bars(spark, sf_dir), "statistics": b.nan_to_null(ledger.benchmark_return(b.daily_bars(spark, sf_dir)))}, {"mode": "backtest", "fee": 0.0006})
+    return spark.read.parquet(f"{at}/run_id=r1/equity").groupBy("series").agg(F.count("*").alias("bars"))
+
+
+@query(f"WITH {HOURLY} SELECT series, ts, open, high, low, close + 1 AS close, volume, epoch_ms(ts) + 3599999 AS ts_close_ms FROM bars")
+def replay_order(spark, sf_dir):
+    x = b.hourly_bars(spark, sf_dir)
+    both = x.withColumn("seq", F.lit(1)).unionByName(x.withColumns({"close": F.col("close") + 1, "seq": F.lit(2)}))
+    return b.replayed(both, 3600000, "seq")
+
+
+@query(f"WITH {HOURLY}, {FUNDING}, {CONTAINED}, r AS (SELECT series, ts, sum(rate) AS rate FROM inside GROUP BY series, ts) SELECT b.series, count(r.rate) AS funded, count(*) AS bars FROM bars b LEFT JOIN r ON b.series = r.series AND b.ts = r.ts GROUP BY b.series HAVING count(r.rate) > 0 AND count(r.rate) < count(*)")
+def mixed_funding(spark, sf_dir):
+    """Series whose feed carries funding on some bars only, here where bars without a settlement have none."""
+    per_bar = align.contained(b.hourly_bars(spark, sf_dir), b.settlements(spark, sf_dir)).groupBy("series", "ts").agg(F.sum("rate").alias("funding_rate"))
+    return b.mixed_funding(b.hourly_bars(spark, sf_dir).join(per_bar, ["series", "ts"], "left"))
+
+
+@query(f"WITH {DAILY}, m AS (SELECT series, (epoch_ms(max(ts)) - epoch_ms(min(ts))) // 3600000 AS h FROM bars GROUP BY series) SELECT series, (h // 24) || 'd ' || (h % 24) || 'h' AS span FROM m")
+def series_spans(spark, sf_dir):
+    x = b.daily_bars(spark, sf_dir).groupBy("series").agg(F.min("ts").alias("a"), F.max("ts").alias("z"))
+    return x.select("series", times.dwell_text(times.dwell_ms(F.col("a"), F.col("z"))).alias("span"))
+
+
+@query(f"WITH {DAILY}, {CHANNEL}, {RESOLVED}, {POSITION}, {TRADES}, fills AS (SELECT series, quantity, entry_price AS price, direction = 'long' AS buy FROM tp UNION ALL SELECT series, quantity, exit_price, direction <> 'long' FROM tp WHERE exit_ts IS NOT NULL) SELECT series, round(sum(quantity * price / CASE WHEN buy THEN 1.0002 ELSE 0.9998 END * 0.0002), 4) AS slippage_paid, count(*) AS fills FROM fills GROUP BY series")
+def slippage_paid(spark, sf_dir):
+    t = ledger.trades(ledger.net_position(channel(spark, sf_dir)))
+    first = t.select("series", "quantity", F.col("entry_price").alias("price"), (F.col("direction") == "long").alias("buy"))
+    last = t.where("status = 'closed'").select("series", "quantity", F.col("exit_price").alias("price"), (F.col("direction") != "long").alias("buy"))
+    return rounded(ledger.slippage_paid(first.unionByName(last).withColumn("slippage_rate", F.lit(0.0002))), "slippage_paid", digits=4)
+
+
+@query()
+def ruin_comparison(spark, sf_dir):
+    """Whether the trend rule beats the channel rule on each series; unknown where either curve is ruined."""
+    def stats(x, name):
+        r = ledger.risk_statistics(ledger.equity_curve(ledger.bar_returns(ledger.net_position(x))), 365.0)
+        return r.select("series", F.col("total_return").alias(name), (F.col("ruined_bars") > 0).alias(f"{name}_ruined"))
+
+    x = b.order_bars(spark, sf_dir)
+    both = stats(strategies.tsmom(x, 20), "trend").join(stats(strategies.donchian(x, 20, 10), "channel"), "series")
+    return both.select("series", "trend_ruined", "channel_ruined", ledger.beats(F.col("trend"), F.col("trend_ruined"), F.col("channel"), F.col("channel_ruined")).alias("trend_wins"))
+
+
+@query("SELECT * FROM (VALUES ('nothing', 'trade')) t(series, role) WHERE (SELECT count(*) FROM events) > 0")
+def unknown_roles(spark, sf_dir):
+    bars = b.hourly_bars(spark, sf_dir)
+    roles = bars.select("series").distinct().withColumn("role", F.lit("context")).union(spark.createDataFrame([("nothing", "trade")], "series string, role string"))
+    return align.unknown_roles(bars, roles)
+
+
+@query(f"WITH {DAILY}, {PATTERN} SELECT series, ts, unnest(CASE WHEN up THEN ['exit_short', 'enter_long'] ELSE ['exit_long', 'enter_short'] END) AS side FROM f WHERE (up OR down) AND n > 2 AND ts > TIMESTAMP '1999-01-01'")
+def primed_stream_signals(spark, sf_dir):
+    """The bar stream whose bars up to 1999 are history that fills the state and emits nothing."""
+    x, at = _streamed(spark, b.daily_bars(spark, sf_dir), "bars")
+    out = stream.run_to_end(stream.reversal_signals(x, emit_after_ms=915148800000), f"{at}/signals", f"{at}/state", ["series", "ts", "side"])
+    return out.select("series", "ts", "side")
+
+
+@query(f"WITH {HOURLY} SELECT series, ts, open, high, low, close, volume FROM bars")
+def streamed_without_repeats(spark, sf_dir):
+    """Each bar arrives twice; the repeats are dropped while the watermark covers them."""
+    x = b.hourly_bars(spark, sf_dir)
+    s, at = _streamed(spark, x.union(x), "bars", 1)
+    return stream.run_to_end(stream.without_repeats(s), f"{at}/once", f"{at}/state", ["series", "ts"]).select("series", "ts", *PRICES)

@@ -211,3 +211,16 @@ def write_run(path: str, run_id: str, tables: dict[str, DataFrame], config: dict
 def nan_to_null(df: DataFrame) -> DataFrame:
     """For JSON artifacts: no NaN leaves the engine."""
     return df.withColumns({f.name: F.when(~F.isnan(f.name), F.col(f.name)) for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))})
+
+
+def replayed(bars: DataFrame, width_ms: int, sequence: str) -> DataFrame:
+    """Bars in the order of a replay, by close instant and series; of repeated bars the last in sequence."""
+    last = F.row_number().over(W.partitionBy("series", "ts").orderBy(F.desc(sequence)))
+    x = bars.withColumn("_last", last).where("_last = 1").drop("_last", sequence)
+    return x.withColumn("ts_close_ms", F.unix_millis("ts") + width_ms - 1).orderBy("ts_close_ms", "series")
+
+
+def mixed_funding(bars: DataFrame) -> DataFrame:
+    """Series of which some bars carry a funding rate and others none; a consistent feed has none of them."""
+    n = bars.groupBy("series").agg(F.count("funding_rate").alias("funded"), F.count("*").alias("bars"))
+    return n.where((F.col("funded") > 0) & (F.col("funded") < F.col("bars")))

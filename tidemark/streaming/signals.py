@@ -88,15 +88,19 @@ class ReversalMemory:
         return []
 
 
-def reversal_signals(bars: DataFrame, warmup: int = 2) -> DataFrame:
-    """A row for each signal of the newest closed bar: exits before entries. Works on a stream, and on a batch table too."""
+def reversal_signals(bars: DataFrame, warmup: int = 2, emit_after_ms: int | None = None) -> DataFrame:
+    """A row for each signal of the newest closed bar: exits before entries. Works on a stream, and on a batch table too.
+
+    Bars up to emit_after_ms only fill the state: history that primes the stream.
+    """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         memory = ReversalMemory(state.get[0] if state.exists else None)
         rows = []
         for pdf in batches:
             for r in pdf.sort_values("ts", kind="stable").itertuples():
-                if memory.add(int(r.ts.value // 1_000_000), float(r.open), float(r.close)):
+                ms = int(r.ts.value // 1_000_000)
+                if memory.add(ms, float(r.open), float(r.close)) and (emit_after_ms is None or ms > emit_after_ms):
                     rows += [(key[0], r.ts, side, float(r.close), memory.late, memory.revised) for side in memory.sides(warmup)]
         state.update((memory.text(),))
         if rows:

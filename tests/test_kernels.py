@@ -57,3 +57,14 @@ def test_timeframes():
     assert times.timeframe_ms("4h") == 14_400_000 and times.timeframe_ms("1w") == times.timeframe_ms("1wk")
     with pytest.raises(ValueError):
         times.timeframe_ms("1M")
+
+
+def test_chunks_with_halos_equal_the_whole_series(spark, walk):
+    from tidemark.functions import halo
+
+    pdf = walk(400, 2)
+    pdf = pdf[(pdf.index % 400 < 100) | (pdf.index % 37 == 0) | (pdf.index % 400 > 300)]  # gaps: some chunks have a row or none
+    df, c = spark.createDataFrame(pdf), F.col("close")
+    kernel = lambda x: x.withColumns({"m": k.rolling_max(c, 25), "r": k.pct_change(c, 10), "n": F.count("close").over(k.trailing(25))})
+    whole, cut = (x.select("series", "ts", "m", "r", "n") for x in (kernel(df), halo.in_chunks(df, 3 * 3_600_000, 24, kernel)))
+    assert whole.exceptAll(cut).isEmpty() and cut.exceptAll(whole).isEmpty() and cut.count() == len(pdf)

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import times
+from tidemark.functions import halo, times
 from tidemark.functions import windows as k
 from tidemark.operators import align, features, ledger, lifecycle
 from tidemark.plans import board, strategies, studies
@@ -1056,3 +1056,21 @@ def streamed_without_repeats(spark, sf_dir):
     x = b.hourly_bars(spark, sf_dir)
     s, at = _streamed(spark, x.union(x), "bars", 1)
     return stream.run_to_end(stream.without_repeats(s), f"{at}/once", f"{at}/state", ["series", "ts"]).select("series", "ts", *PRICES)
+
+
+@query(ORACLE_SQL["donchian"])
+def donchian_in_chunks(spark, sf_dir):
+    """The channel rule with series cut into quarters of a year, as for series too long for one task; rows of the first 96 bars have no signal."""
+    no = lambda c: F.coalesce(c, F.lit(False))
+    c, w = F.col("close"), k.series_window()
+
+    def edge(f, column, n):
+        span = w.rowsBetween(-n, -1)
+        return F.when(F.count(column).over(span) == n, f(column).over(span))
+
+    def kernel(x):
+        x = x.withColumn("_ready", F.count("close").over(w.rowsBetween(-96, -1)) == 96)
+        rules = (c > edge(F.max, "high", 96), c < edge(F.min, "low", 48), c < edge(F.min, "low", 96), c > edge(F.max, "high", 48))
+        return x.withColumns({n: no(F.col("_ready") & r) for n, r in zip(ledger.FLAGS, rules)}).drop("_ready")
+
+    return flags(halo.in_chunks(b.daily_bars(spark, sf_dir), 90 * 86_400_000, 96, kernel))

@@ -17,7 +17,7 @@ from .common import chunks, table, text_buffer, windows, word_bounds, word_hashe
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 #: Rates that have adaptive thresholds: (how far beyond the outer quartile in quartile distances, least distance).
-FENCES = {"symbol_rate": (4.0, 0.2), "dup_line_rate": (4.0, 0.3), "repeat_rate": (4.0, 0.15), "mean_chars": (4.0, 2.0)}
+FENCES = {"symbol_rate": (4.0, 0.2), "dup_line_rate": (4.0, 0.4), "repeat_rate": (4.0, 0.2), "mean_chars": (4.0, 2.5)}
 #: Groups with fewer texts than this use the thresholds of their language over all sources.
 LEAST_GROUP = 30
 #: So many groups' thresholds are broadcast at most; beyond, they are joined by a shuffle with hot groups salted.

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import discard, table, written
 
 #: Blocks of a source in a pass, and smaller blocks in each of these.
 BLOCKS = 1024
@@ -118,6 +118,8 @@ def mix_sources(docs: DataFrame, tokens: Column | None = None, target_entropy: f
         x = x.withColumnRenamed("source", "_source")
         cuts = cuts.join(x.hint("merge"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     cuts = written(cuts, "cuts")
+    for spent in (light, sources, plan, first, second):
+        discard(spent)
     rows = docs.withColumns({"_row": F.xxhash64(*docs.columns), "mix_tokens": token_count(F.col("text")) if tokens is None else tokens})
     rows = with_plan(rows, cuts, few)
     k = pass_key(F.col("passes"), seed)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, table, written
+from .common import chunks, discard, table, written
 
 #: The lexicon and the weights are fitted on at most so many labelled texts, those of the lowest hashes.
 SAMPLE_ROWS = 12_000
@@ -234,7 +234,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     share = 1.2 * rows / max(known.count(), 1)  # so that few more than `rows` are sorted
     few = known if share >= 1 else known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     few = written(few.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id").limit(rows), "labelled")
-    return written(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", F.col("_toxic").alias("toxic")), "sample")
+    sample = written(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", F.col("_toxic").alias("toxic")), "sample")
+    discard(known)
+    discard(few)
+    return sample
 
 
 def term_counts(sample: DataFrame) -> DataFrame:
@@ -325,6 +328,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Toxici
                 yield pa.RecordBatch.from_arrays([part.column(1).cast(pa.int32()), pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(inexact, pa.list_(pa.string()))], names=["toxic", "x", "inexact"])
 
     seen = sample.mapInArrow(measure, "toxic int, x array<double>, inexact array<string>").collect()  # at most `rows`
+    discard(sample)
     marks: dict[str, list[int]] = {}
     for r in seen:  # terms and words alternate in inexact
         for w in set(r["inexact"][1::2]) | {f"^{t}" for t in r["inexact"][::2]}:

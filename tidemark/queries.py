@@ -221,11 +221,11 @@ def window_ends(spark, sf_dir):
     return x.withColumns({"sizing_bars": F.round(times.bars_per_year(F.col("spacing_ms")), 6), "sharpe_bars": F.round(times.bars_per_year(F.col("spacing_ms"), times.SHARPE_DAYS), 6)})
 
 
-@query("SELECT * FROM (VALUES ('15m', CAST(900000 AS BIGINT)), ('4h', 14400000), ('1w', 604800000), ('1wk', 604800000), ('1M', NULL)) t(timeframe, ms), (SELECT count(*) AS events FROM events)")
+@query("SELECT * FROM (VALUES ('15m', CAST(900000 AS BIGINT)), ('4h', 14400000), ('1w', 604800000), ('1wk', 604800000), ('1M', -1)) t(timeframe, ms), (SELECT count(*) AS events FROM events)")
 def timeframes(spark, sf_dir):
     x = spark.createDataFrame([("15m",), ("4h",), ("1w",), ("1wk",), ("1M",)], "timeframe string")
     n = b.table(spark, sf_dir, "events").agg(F.count("*").alias("events"))
-    return x.select("timeframe", times.timeframe_ms_col(F.col("timeframe")).alias("ms")).crossJoin(F.broadcast(n))
+    return x.select("timeframe", F.coalesce(times.timeframe_ms_col(F.col("timeframe")), F.lit(-1)).alias("ms")).crossJoin(F.broadcast(n))
 
 
 def frame(spark, sf_dir) -> DataFrame:

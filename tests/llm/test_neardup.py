@@ -62,6 +62,20 @@ def test_a_chain_and_a_large_group(spark):
     assert classes(df) == brute(rows)
 
 
+def test_hundreds_of_clusters_in_large_buckets(spark):
+    """Texts that are mostly one passage share large buckets; only near copies in pairs and triples belong together."""
+    rng = np.random.default_rng(11)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    passage, rows = word(174), []
+    for i in range(300):
+        own = word(9)
+        rows += [(3 * i + j, " ".join(passage + own + word(18))) for j in range(2 + i % 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert len({c for _, c in want}) == 300
+    assert classes(df) == want
+
+
 def test_odd_and_empty_tables(odd_docs, no_docs):
     assert sum(classes(odd_docs).values()) == odd_docs.count()
     assert not classes(no_docs)

@@ -6,14 +6,15 @@ points of the interval that a weight ends in count only up to the weight. Every
 places, which keeps its earliest point, so two signatures agree in a place with the weighted Jaccard similarity as
 probability. Only points up to a time that fills all places are made. Signatures are banded; in each bucket every node
 is compared with one pivot (so a bucket of n nodes makes n pairs), each pair is verified on the full multisets, and
-buckets that still hold several components get other pivots in further rounds.
+buckets that still hold several components get other pivots in further rounds. What large buckets still hold apart then is
+compared exactly: all similar pairs of different components share one of their rarest shingles (prefix filter).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, discard, mix, table, windows, words, written
@@ -24,11 +25,15 @@ SIMILARITY = 0.8
 PLACES, BAND = 64, 4
 #: Pairs whose signatures agree in a smaller share of places than this are not verified (0.8 minus over 5 deviations).
 LEAST_ESTIMATE = 0.5
-#: Rounds of pivots; after the first few, buckets up to SMALL nodes compare all nodes of different components.
+#: Rounds of pivots; after the first few, buckets up to SMALL nodes compare all nodes of different components. Larger ones
+#: that pivots leave unresolved are finished by apart().
 ROUNDS, SMALL = 6, 32
 #: So many nodes are broadcast at most (16 MB) when their texts are read again.
 BROADCAST_NODES = 1_000_000
 
+#: Nodes of one shingle that are held at once when its nodes are compared with one another.
+BLOCK = 1024
+
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -189,6 +194,52 @@ def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.mapInArrow(check, "a long, b long")
 
 
+def shared_shingles(bag: DataFrame) -> DataFrame:
+    """token, node for each element of each node's bag."""
+
+    def make(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 200):
+                part = batch.slice(at, 200)
+                bags = part.column(1).to_pylist()
+                node = np.repeat(part.column(0).to_numpy(), [len(x) // 8 for x in bags])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(bags), dtype=np.int64)), pa.array(node)], names=["token", "node"])
+
+    return bag.select("node", "bag").mapInArrow(make, "token long, node long")
+
+
+def apart(rows: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
+    """a, b of different root among the nodes of rows (node, root): at least all pairs that are similar enough.
+
+    Elements are ordered by the number of nodes that hold them, rarest first. The first common element of a similar pair is
+    then among the first n - ceil(similarity n) + 1 of the larger bag and n - ceil(2 similarity / (1 + similarity) n) + 1
+    of the smaller one. Elements that one node alone has only take places.
+    """
+    own = written(bag.join(rows.hint("merge"), "node").select("node", "bag", "root", (F.length("bag") / 8).cast("long").alias("n")), "unresolved")
+    each = shared_shingles(own)
+    held = each.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
+    ranked = each.join(held.hint("merge"), "token").join(own.select("node", "root", "n").hint("merge"), "node")
+    by = Window.partitionBy("node")
+    ranked = ranked.withColumn("place", F.col("n") - F.count("*").over(by) + F.row_number().over(by.orderBy("held", "token")))
+    first = written(ranked.where(F.col("place") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-6) + 1).select("token", "node", "root", "n", "place"), "prefixes")
+    # each token's largest component is not compared with itself
+    roots = first.groupBy("token", "root").agg(F.count("*").alias("size")).groupBy("token").agg(F.max_by("root", "size").alias("main"), F.sum("size").alias("all"), F.count("*").alias("roots"))
+    post = first.join(roots.where("roots > 1").select("token", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks")).hint("merge"), "token")
+    post = written(post.select("token", "node", "root", "n", "place", "blocks", (F.col("root") == F.col("main")).alias("is_main")), "prefixes_met")
+    probe = post.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    index = post.where(F.col("place") <= F.col("n") - F.ceil(2 * similarity / (1 + similarity) * F.col("n") - 1e-6) + 1)
+    index = index.select("token", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("n").alias("m"), F.col("is_main").alias("other_main"))
+    fits = (F.col("root") != F.col("other_root")) & (F.col("m") >= F.col("n") * similarity - 1e-6) & ((F.col("m") < F.col("n")) | (F.col("m") == F.col("n")) & (F.col("other") < F.col("node")))
+    met = None
+    for x, y in ((probe.where("not is_main"), index), (probe.where("is_main"), index.where("not other_main"))):
+        part = x.join(y.hint("merge"), ["token", "block"]).where(fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+        met = part if met is None else met.union(part)
+    met = written(met.distinct(), "met")
+    for x in (own, first, post):
+        discard(x)
+    return met
+
+
 def duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
     """doc_id and class_id (the smallest doc_id of its class) of each row of docs.
 
@@ -211,6 +262,7 @@ def duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, rounds: i
     spent.append(bag := written(bags(found.select("text", F.col("_node").alias("node"))), "bags"))
     if bag.count() > involved.count():  # rows that are repeated whole
         spent.append(bag := written(bag.groupBy("node").agg(F.max("bag").alias("bag")), "bags"))
+    large = members.where(F.col("size") > SMALL)
     edges, tested, roots = None, None, None
     for r in range(rounds):
         if roots is None:
@@ -246,7 +298,18 @@ def duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, rounds: i
             spent.append(roots := components(edges))
         elif roots is None:
             roots = spark.createDataFrame([], "node long, root long")
-    if roots is None:
+    if roots is not None:  # large buckets that pivots did not resolve
+        rows = large.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+        spent.append(rows := written(rows.join(mixed.hint("merge"), "bucket").select("node", "root").distinct(), "unresolved", shared))
+        if not rows.isEmpty():
+            spent.append(met := apart(rows, bag, similarity))
+            spent.append(pairs := written(met.join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs"))
+            spent.append(new := written(verified(estimated(pairs, nodes), bag, similarity), "links"))
+            if not new.isEmpty():
+                edges = new if edges is None else edges.union(new)
+                spent.append(roots := components(edges))
+    if edges is None:
         classes = nodes.select("node", F.col("rep").alias("class_id"))
     else:
         spent.append(known := written(roots.join(nodes.select("node", "rep").hint("merge"), "node"), "known", shared))

@@ -123,3 +123,13 @@ def test_quoted_hits_count_apart():
 def test_words_without_marks(text, words):
     code, _, s, e = toxicity.tokens([text])
     assert [code[a:z].tobytes().decode("utf-32-le") for a, z in zip(s, e)] == words
+
+
+def test_terms_of_other_scripts_match_their_own_words():
+    from tidemark.llm import toxicity
+
+    model = toxicity.Automaton(["дурак", "βλάκας", "笨蛋"], ["идиот"])
+    for word, term in (("Дурак", "дурак"), ("дуррак", "дурак"), ("βλάκας", "βλάκας"), ("笨蛋", "笨蛋"), ("ИДИОТСКИЙ", "идиот"), ("привет", None), ("plain", None)):
+        code, _, starts, ends = toxicity.tokens([word])
+        hit = int(model.hit[model.read(code, starts, ends)[0]])
+        assert (model.terms[hit] if hit >= 0 else None) == term

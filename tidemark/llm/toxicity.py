@@ -40,6 +40,10 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     small = np.minimum(code, _WIDE)
     code = np.where(code < _WIDE, _LOWER[np.minimum(code, _WIDE - 1)], code)
+    wide = np.flatnonzero(code >= _WIDE)
+    if len(wide):
+        points, which = np.unique(code[wide], return_inverse=True)
+        code[wide] = np.array([ord(x) if len(x := chr(c).lower()) == 1 else c for c in points.tolist()], dtype=np.uint32)[which]
     bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     at = np.flatnonzero(_INSIDE[small])
     if not len(at):
@@ -68,11 +72,7 @@ class Automaton:
         self.terms = [*words, *stems]
         limit = [0 if t in strict or i >= len(words) else edits_allowed(t) for i, t in enumerate(self.terms)]
         self.alphabet = sorted({c for t in self.terms for c in t})
-        symbols = {c: i + 1 for i, c in enumerate(self.alphabet)}  # 0: any other
-        self.symbols = np.zeros(_WIDE + 1, np.int64)
-        for c, i in symbols.items():
-            if ord(c) < _WIDE:
-                self.symbols[ord(c)] = i
+        self.points = np.array([ord(c) for c in self.alphabet], dtype=np.uint32)  # sorted; symbol 0: any other
         children: list[dict[str, int]] = [{}]
         ends: list[dict[str, int]] = [{}]
         allowed = [0]
@@ -148,6 +148,13 @@ class Automaton:
         self.distance = np.array(distances + [0] * len(stem_state), dtype=np.int32)
         self.is_stem = np.array([0] * (n + 1) + [1] * len(stem_state), dtype=bool)
 
+    def symbols(self, code: np.ndarray) -> np.ndarray:
+        """The symbol of each code point."""
+        if not len(self.points):
+            return np.zeros(len(code), np.int64)
+        at = np.minimum(np.searchsorted(self.points, code), len(self.points) - 1)
+        return np.where(self.points[at] == code, at + 1, 0)
+
     def read(self, code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The state after each word."""
         state = np.ones(len(starts), np.int32)
@@ -156,7 +163,7 @@ class Automaton:
             at = starts[live] + k
             more = at < ends[live]
             live, at = live[more], at[more]
-            state[live] = self.moves[state[live], self.symbols[np.minimum(code[at], _WIDE)]]
+            state[live] = self.moves[state[live], self.symbols(code[at])]
             live = live[state[live] > 0]
             k += 1
         return state

@@ -125,7 +125,7 @@ def parse_funding(spark, sf_dir):
     x = b.settlements(spark, sf_dir)
     ms = F.unix_millis("settled")
     item = F.struct(F.col("series").alias("symbol"), ms.alias("fundingTime"), F.format_string("%.12f", "rate").alias("fundingRate"), F.when(ms % 2 == 0, "100.5").otherwise("").alias("markPrice"))
-    raw = x.groupBy("series").agg(F.to_json(F.collect_list(item)).alias("payload"))
+    raw = x.groupBy("series", F.date_trunc("hour", "settled").alias("hour")).agg(F.to_json(F.collect_list(item)).alias("payload")).drop("hour")
     out = b.parse_funding(raw)
     return out.select("series", "funding_time_ms", F.round(F.col("rate").cast("double"), 9).alias("rate"), F.col("mark_price").cast("double").alias("mark_price"))
 
@@ -952,7 +952,7 @@ def streamed_funding_join(spark, sf_dir):
 def parse_open_interest(spark, sf_dir):
     x, ms = b.settlements(spark, sf_dir), F.unix_millis("settled")
     item = F.struct(F.col("series").alias("symbol"), ms.alias("timestamp"), F.format_string("%.12f", 1000 + F.col("rate")).alias("sumOpenInterest"), F.when(ms % 3 != 0, "5.5").otherwise(" ").alias("sumOpenInterestValue"))
-    out = b.parse_open_interest(x.groupBy("series").agg(F.to_json(F.collect_list(item)).alias("payload")))
+    out = b.parse_open_interest(x.groupBy("series", F.date_trunc("hour", "settled").alias("hour")).agg(F.to_json(F.collect_list(item)).alias("payload")).drop("hour"))
     return out.select("series", "ts_ms", F.round(F.col("open_interest").cast("double"), 9).alias("open_interest"), F.col("open_interest_usd").cast("double").alias("open_interest_usd"))
 
 

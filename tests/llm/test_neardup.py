@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import neardup
 from tidemark.llm.components import components
@@ -76,6 +77,47 @@ def test_hundreds_of_clusters_in_large_buckets(spark):
     assert classes(df) == want
 
 
+def test_pairs_inside_one_body(spark):
+    """600 texts of one long body: a pair's similarity is 0.827, that of others 0.793, so every text is in every large bucket."""
+    rng = np.random.default_rng(23)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**7, n)]
+    body, rows = word(600), []
+    for i in range(300):
+        own = word(14)
+        rows += [(2 * i + j, " ".join(body + own + word(64))) for j in range(2)]
+    got = classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
+    assert got == Counter((i, i // 2 * 2) for i, _ in rows)
+
+
+def test_one_row_of_each_class_stays(spark):
+    """Repeated and null ids: classes are of texts, and none is lost."""
+    a, b, c = "one two three four five six seven", "other words stand in this text here", "and a third text without any id at all"
+    rows = [(5, a, 1), (5, b, 2), (1, b, 3), (None, c, 4), (None, c, 5), (None, a, 6), (7, b, 7), (7, b, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, copies long")
+    got = sorted((r["text"], r["doc_id"]) for r in neardup.without_copies(df).collect())
+    assert got == sorted([(a, 5), (b, 1), (c, None)])
+    assert neardup.without_copies(df).columns == df.columns
+    mapped = df.withColumn("_key", F.create_map(F.lit("k"), F.col("copies")))
+    assert sorted((r["text"], r["_key"]["k"]) for r in neardup.without_copies(mapped).collect() if r["doc_id"] != None) == sorted([(a, 1), (b, 3)])  # noqa: E711
+    assert neardup.without_copies(df.limit(0)).count() == 0
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT", 3)
+    rows = [(i, "the very same text of more than five words" if i % 2 else f"text {i} of its own {i + 1} {i + 2} {i * 7}") for i in range(60)]
+    want = Counter((i, 1 if i % 2 else i) for i, _ in rows)
+    assert classes(spark.createDataFrame(rows, "doc_id long, text string")) == want
+
+
+def test_processes_are_split_alike():
+    """A weight's processes end in its units, and those that two weights share have the same points."""
+    own, low, x = neardup.split_processes(np.full(3, 12345, np.uint64), np.array([1, 6, 700]), np.full(3, 1e9))
+    points = [dict(zip(low[own == i].tolist(), x[own == i])) for i in range(3)]
+    assert [sorted(p) for p in points] == [list(range(n)) for n in (1, 6, 700)]
+    assert points[0].items() <= points[1].items() <= points[2].items()
+    assert abs(np.mean(list(points[2].values())) - 1) < 0.15  # first points of processes of rate 1
+
+
 def test_odd_and_empty_tables(odd_docs, no_docs):
     assert sum(classes(odd_docs).values()) == odd_docs.count()
     assert not classes(no_docs)

@@ -8,7 +8,8 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that numpy handles at once inside a task; it bounds a Python worker's memory.
 CHUNK_BYTES = 1 << 21
@@ -39,10 +40,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: the cluster's checkpoint folder.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only a session on one machine (a local master, as in tests) may name none; it gets a temporary folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -60,6 +63,13 @@ def written(df: DataFrame, keep: str = "table", rows: int | None = None) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_hash(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """A hash of all columns of a row, maps included."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    names = columns or df.columns
+    return F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kinds.get(c, "") or "variant" in kinds.get(c, "") else F.col(f"`{c}`") for c in names])
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by written() that nothing reads any more."""
     spark = df.sparkSession

@@ -1,10 +1,13 @@
 """Near duplicates by BagMinHash: weighted Jaccard similarity of the multisets of five-word shingles.
 
-Texts of the same words are one node. A node's signature comes from Poisson processes over its shingles' weights: the
-weight axis is cut into intervals (0,1], (1,2], (2,4], (4,8], ..., each shingle and interval has its own process, and the
-points of the interval that a weight ends in count only up to the weight. Every point falls to one of the signature's
-places, which keeps its earliest point, so two signatures agree in a place with the weighted Jaccard similarity as
-probability. Only points up to a time that fills all places are made. Signatures are banded; in each bucket every node
+Texts of the same words are one node. Over the weight axis of each shingle runs a Poisson process, and only its points
+below the shingle's weight count. The process is hierarchical: the whole axis [0, 2**31) has one, whose first point is drawn;
+it is then split into the processes of its two halves, one of which has that point and the other a later one of its own,
+and so on down to units. Parts beyond the weight are dropped, and so are parts whose first point lies beyond the time that
+fills all places, with all that is below them: however large a weight, only the parts with early points are split. The same
+shingle is split alike in all texts, so what two weights share is the same points. Every point falls to one of the
+signature's places, which keeps its earliest point, so two signatures agree in a place with the weighted Jaccard
+similarity as probability. Signatures are banded; in each bucket every node
 is compared with one pivot (so a bucket of n nodes makes n pairs), each pair is verified on the full multisets, and
 buckets that still hold several components get other pivots in further rounds. What large buckets still hold apart then is
 compared exactly: all similar pairs of different components share one of their rarest shingles (prefix filter).
@@ -14,10 +17,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, discard, mix, table, windows, words, written
+from .common import chunks, discard, free_name, mix, row_hash, table, windows, words, written
 from .components import components
 
 SHINGLE = 5
@@ -31,6 +34,9 @@ ROUNDS, SMALL = 6, 32
 #: So many nodes are broadcast at most (16 MB) when their texts are read again.
 BROADCAST_NODES = 1_000_000
 
+#: Keys of more than one row in so many are joined by a broadcast; there are fewer of them than this.
+HOT = 10_000
+
 #: Nodes of one shingle that are held at once when its nodes are compared with one another.
 BLOCK = 1024
 
@@ -58,36 +64,56 @@ def weights(d: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return d[new], h[new], np.diff(np.append(new, len(d)))
 
 
+#: The weight axis is [0, 2**TOP): a text of 2**31 bytes has fewer words.
+TOP = 31
+_ROOT, _LEVEL, _LOW = np.uint64(0x5851F42D4C957F2D), np.uint64(0xD1342543DE82EF95), np.uint64(0xAEF17502108EF2D9)
+
+
+def waiting_time(x: np.ndarray, rate: float | np.ndarray) -> np.ndarray:
+    """Exponential times of random bits."""
+    return np.log(((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53) / -rate
+
+
+def split_processes(h: np.ndarray, w: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the shingle, lower end and first point of each unit of [0, weight) whose first point is within the shingle's limit."""
+    own, low, x = np.arange(len(h)), np.zeros(len(h), np.uint64), waiting_time(mix(h + _ROOT), 2.0**TOP)
+    top = int(w.max()).bit_length() if len(w) else 0
+    for level in range(TOP, 0, -1):
+        seed = mix(h + low * _LOW + np.uint64(level * int(_LEVEL) % 2**64))
+        goes_right = (seed & np.uint64(1)).astype(bool)  # the half that the first point falls into
+        if level > top:  # all weights lie in the left half
+            late = np.flatnonzero(goes_right)
+            x[late] += waiting_time(seed[late], 2.0 ** (level - 1))
+            continue
+        other, middle = x + waiting_time(seed, 2.0 ** (level - 1)), low + np.uint64(1 << (level - 1))
+        left, right = np.where(goes_right, other, x), np.where(goes_right, x, other)
+        a, b = np.flatnonzero(left <= limit[own]), np.flatnonzero((right <= limit[own]) & (middle < w[own].astype(np.uint64)))
+        low, x, own, h = np.concatenate([low[a], middle[b]]), np.concatenate([left[a], right[b]]), np.concatenate([own[a], own[b]]), np.concatenate([h[a], h[b]])
+    return own, low, x
+
+
 def bag_signatures(d: np.ndarray, h: np.ndarray, w: np.ndarray, texts: int, places: int = PLACES) -> np.ndarray:
     """texts x places identities (uint32) of the earliest points; rows of texts without shingles are zero."""
     out = np.zeros((texts, places), np.uint32)
     total = np.bincount(d, weights=w, minlength=texts)
-    level = np.ceil(np.log2(np.maximum(w, 1))).astype(np.int64)  # the interval that the weight ends in
-    rows = np.repeat(np.arange(len(d)), level + 1)
-    lev = np.arange(len(rows)) - np.repeat(np.cumsum(level + 1) - level - 1, level + 1)
-    rate = np.where(lev == 0, 1, 2.0 ** (lev - 1))
-    seed = mix(h[rows] + lev.astype(np.uint64) * _GOLD)
     limit = np.where(total > 0, places * (np.log(places) + 3) / np.maximum(total, 1), 0)
     todo = total > 0
     while todo.any():
-        at = np.flatnonzero(todo[d[rows]])
-        s, t, own, r, step = seed[at], np.zeros(len(at)), rows[at], rate[at], 0
+        at = np.flatnonzero(todo[d])
+        own, low, t = split_processes(h[at], w[at], limit[d[at]])
+        own = at[own]
+        s, step = mix(h[own] + low * _LOW), 0
         found = [], [], []
         while len(s):
             x = mix(s + np.array([step], np.uint64) * _GOLD)
-            t = t - np.log(((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53) / r
-            live = t <= limit[d[own]]
-            s, t, own, r, x = s[live], t[live], own[live], r[live], x[live]
             y = mix(x ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-            # a point's height inside its interval, in whole units
-            fits = (r < 1.5) & (w[own] >= 2) | (w[own] == 1)
-            high = r + 1 + np.floor((y >> np.uint64(32)).astype(np.float64) / 2**32 * r)
-            fits |= high <= w[own]
-            found[0].append((d[own] * places + (y % np.uint64(places)).astype(np.int64))[fits])
-            found[1].append(t[fits])
-            found[2].append(mix(y)[fits])
-            step += 1
-        key, when, who = (np.concatenate(x) for x in found)
+            found[0].append(d[own] * places + (y % np.uint64(places)).astype(np.int64))
+            found[1].append(t)
+            found[2].append(mix(y))
+            t = t + waiting_time(x, 1.0)
+            live = t <= limit[d[own]]
+            s, t, own, step = s[live], t[live], own[live], step + 1
+        key, when, who = (np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(found, (np.int64, np.float64, np.uint64)))
         order = np.lexsort((when, key))
         key, who = key[order], who[order]
         first = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
@@ -110,19 +136,24 @@ def text_keys(doc: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> np.nda
     return mix(sums[first + counts] - sums[first] + counts.astype(np.uint64) * _GOLD).view(np.int64)
 
 
+def row_key() -> Column:
+    """A row's key: the hash of its id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, node (key of the words) and sig of each row; null and blank texts have an empty sig."""
+    """doc_id, key (of id and text), node (key of the words) and sig of each row; null and blank texts have an empty sig."""
 
     def make(batches):
         for batch in batches:
             for part in chunks(batch):
-                doc, hashes, counts = words(part.column(1), lower=True)
+                doc, hashes, counts = words(part.column(2), lower=True)
                 sig = bag_signatures(*weights(*shingles(doc, hashes, counts)), len(part))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(text_keys(doc, hashes, counts)), pa.array([x.tobytes() if n else b"" for x, n in zip(sig, counts)], pa.binary())], names=["doc_id", "node", "sig"]
+                    [part.column(0), part.column(1), pa.array(text_keys(doc, hashes, counts)), pa.array([x.tobytes() if n else b"" for x, n in zip(sig, counts)], pa.binary())], names=["doc_id", "key", "node", "sig"]
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, node long, sig binary")
+    return docs.select("doc_id", row_key().alias("key"), "text").mapInArrow(make, "doc_id long, key long, node long, sig binary")
 
 
 def bands(nodes: DataFrame) -> DataFrame:
@@ -228,8 +259,10 @@ def apart(rows: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
     post = written(post.select("token", "node", "root", "n", "place", "blocks", (F.col("root") == F.col("main")).alias("is_main")), "prefixes_met")
     probe = post.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     index = post.where(F.col("place") <= F.col("n") - F.ceil(2 * similarity / (1 + similarity) * F.col("n") - 1e-6) + 1)
-    index = index.select("token", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("n").alias("m"), F.col("is_main").alias("other_main"))
-    fits = (F.col("root") != F.col("other_root")) & (F.col("m") >= F.col("n") * similarity - 1e-6) & ((F.col("m") < F.col("n")) | (F.col("m") == F.col("n")) & (F.col("other") < F.col("node")))
+    index = index.select("token", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("n").alias("m"), F.col("place").alias("other_place"), F.col("is_main").alias("other_main"))
+    # what follows the first common element bounds how many a pair can share
+    shared = 1 + F.least(F.col("n") - F.col("place"), F.col("m") - F.col("other_place")) >= (F.col("n") + F.col("m")) * similarity / (1 + similarity) - 1e-6
+    fits = shared & (F.col("root") != F.col("other_root")) & (F.col("m") >= F.col("n") * similarity - 1e-6) & ((F.col("m") < F.col("n")) | (F.col("m") == F.col("n")) & (F.col("other") < F.col("node")))
     met = None
     for x, y in ((probe.where("not is_main"), index), (probe.where("is_main"), index.where("not other_main"))):
         part = x.join(y.hint("merge"), ["token", "block"]).where(fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
@@ -240,25 +273,71 @@ def apart(rows: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
     return met
 
 
+def met(rows: DataFrame, other: DataFrame, on: str, total: int) -> DataFrame:
+    """rows joined with `other`, which has one row for each key and in `copies` how many of the rows have it.
+
+    Keys of more than one row in HOT are HOT at most and are broadcast, so that no task gets all rows of one; the others are
+    joined by a shuffle.
+    """
+    hot, rest = other.where(F.col("copies") * HOT > total), other.where(F.col("copies") * HOT <= total)
+    if hot.isEmpty():
+        return rows.join(other.hint("merge"), on)
+    hot = F.broadcast(hot)
+    return rows.join(hot, on).unionByName(rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(rest.hint("merge"), on))
+
+
 def duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
     """doc_id and class_id (the smallest doc_id of its class) of each row of docs.
 
     Words are compared without regard to the case of A to Z. Texts without words, null ones too, are copies of one
-    another. A row without doc_id gets the class of its text; a text that only such rows have is compared with no other and
-    its class is null. Repeated rows get a row each, an empty table none.
+    another. A row without doc_id gets the class of its text; class_id is null where no row of a class has a doc_id. A
+    doc_id of several texts has a row, and maybe a class, for each. Repeated rows get a row each, an empty table none.
+    Columns other than doc_id and text are not read.
+    """
+    return classified(docs, similarity, rounds).select("doc_id", "class_id")
+
+
+def without_copies(docs: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+    """One row of each class of near duplicates, all columns: that of the smallest doc_id, rows without one last.
+
+    Classes are of texts, not of ids: each class keeps a row, whatever ids repeat or are null. Of rows with the same doc_id
+    and text one is kept, that of the lowest hash of all columns. An empty table gives none.
     """
+    columns, key, n = docs.columns, free_name(docs, "_key"), free_name(docs, "copies")
+    rows = written(classified(docs, similarity, rounds), "classified")
+    total = rows.count()
+    each = rows.groupBy("key").agg(F.min("class").alias("class"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "copies")).alias("least")
+    chosen = written(each.groupBy("class").agg(least).select(F.col("least.key").alias(key), F.col("least.copies").alias("copies")), "chosen")
+    discard(rows)
+    keyed = docs.withColumn(key, row_key())
+    if n != "copies":  # the table has such a column
+        keyed = keyed.withColumnRenamed("copies", n)
+    kept = met(keyed, chosen, key, total)
+    repeated = chosen.where("copies > 1").isEmpty()
+    own = [F.col(n).alias("copies") if c == "copies" else F.col(f"`{c}`") for c in columns]
+    once = (kept if repeated else kept.where(F.col("copies") == 1)).select(*own)
+    if repeated:
+        return once
+    several = kept.where(F.col("copies") > 1).groupBy(key).agg(F.min_by(F.struct(*own), row_hash(docs, [c if c != "copies" else n for c in columns])).alias("row"))
+    return once.union(several.select(*[F.col("row").getField(c).alias(c) for c in columns]))
+
+
+def classified(docs: DataFrame, similarity: float, rounds: int) -> DataFrame:
+    """doc_id, key (of id and text), class (the smallest node of its class) and class_id of each row."""
     spark = docs.sparkSession
     sketch = written(sketches(docs), "sketch")
-    nodes = written(sketch.groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("sig").alias("sig")), "nodes")
+    total = sketch.count()
+    nodes = written(sketch.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), F.max("sig").alias("sig"), F.count("*").alias("copies")), "nodes")
     spent = [members := written(bands(nodes), "members")]  # tables that nothing reads once the classes are known
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     spent.append(members := written(members.join(sizes.hint("merge"), "bucket"), "shared"))
     shared = members.count()
     # texts of the nodes that share a bucket are read again, one row for each
-    spent.append(involved := written(members.select("node").distinct().join(nodes.select("node", "rep").hint("merge"), "node").where("rep is not null"), "involved", shared))
-    ids = involved.select(F.col("rep").alias("doc_id"), F.col("node").alias("_node"))
+    spent.append(involved := written(members.select("node").distinct().join(nodes.select("node", "key").hint("merge"), "node"), "involved", shared))
+    ids = involved.select(F.col("key").alias("_key"), F.col("node").alias("_node"))
     ids = F.broadcast(ids) if involved.count() <= BROADCAST_NODES else ids.hint("merge")
-    found = docs.select("doc_id", "text").join(ids, "doc_id")
+    found = docs.select("text", row_key().alias("_key")).join(ids, "_key")
     spent.append(bag := written(bags(found.select("text", F.col("_node").alias("node"))), "bags"))
     if bag.count() > involved.count():  # rows that are repeated whole
         spent.append(bag := written(bag.groupBy("node").agg(F.max("bag").alias("bag")), "bags"))
@@ -303,22 +382,23 @@ def duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, rounds: i
         mixed = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
         spent.append(rows := written(rows.join(mixed.hint("merge"), "bucket").select("node", "root").distinct(), "unresolved", shared))
         if not rows.isEmpty():
-            spent.append(met := apart(rows, bag, similarity))
-            spent.append(pairs := written(met.join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs"))
+            spent.append(close := apart(rows, bag, similarity))
+            spent.append(pairs := written(close.join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs"))
             spent.append(new := written(verified(estimated(pairs, nodes), bag, similarity), "links"))
             if not new.isEmpty():
                 edges = new if edges is None else edges.union(new)
                 spent.append(roots := components(edges))
-    if edges is None:
-        classes = nodes.select("node", F.col("rep").alias("class_id"))
-    else:
+    own = nodes.select("node", F.col("node").alias("class"), F.col("rep").alias("class_id"), "copies")
+    if edges is not None:
         spent.append(known := written(roots.join(nodes.select("node", "rep").hint("merge"), "node"), "known", shared))
-        least = known.groupBy("root").agg(F.min("rep").alias("class_id"))
-        merged = written(known.join(least.hint("merge"), "root").select("node", "class_id"), "merged", shared)
-        classes = nodes.join(merged.hint("merge"), "node", "left").select("node", F.coalesce("class_id", "rep").alias("class_id"))
+        least = known.groupBy("root").agg(F.min("rep").alias("least_rep"), F.min("node").alias("least_node"))
+        merged = written(known.join(least.hint("merge"), "root").select("node", "least_rep", "least_node"), "merged", shared)
+        own = own.join(merged.hint("merge"), "node", "left")
+        own = own.select("node", F.coalesce("least_node", "class").alias("class"), F.when(F.col("least_node").isNull(), F.col("class_id")).otherwise(F.col("least_rep")).alias("class_id"), "copies")
+    classes = written(own, "classes")
     for x in spent:
         discard(x)
-    return sketch.select("doc_id", "node").join(classes.hint("merge"), "node").select("doc_id", "class_id")
+    return met(sketch.select("doc_id", "key", "node"), classes, "node", total).select("doc_id", "key", "class", "class_id")
 
 
 def query_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -122,3 +122,38 @@ def test_junk_is_rejected_and_clean_text_kept(spark, sf_dir):
     assert out.join(labels, "doc_id").where("kept").count() == 0
     good = out.join(labels, "doc_id", "left_anti")
     assert good.where("kept").count() > 0.85 * good.count()
+
+
+def test_fences_follow_each_group(spark):
+    """Two sources alike but for level and spread get other limits, those of their exact quartiles; a text passes in one and fails in the other."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    rows, rates = [], {}
+    for source, level in (("plain", 0), ("code", 40)):
+        for i in range(120):
+            n, own = int(rng.integers(150, 400)), int(rng.poisson(level))
+            words = [f"w{rng.integers(0, 10**6)}" for _ in range(n)] + ["#"] * own
+            rng.shuffle(words)
+            rows.append((len(rows), " ".join(words), "en", source))
+            rates.setdefault(source, []).append((own + 0.5) / (len(words) + 1))
+    words = [f"v{i}" for i in range(260)] + ["#"] * 40
+    rng.shuffle(words)
+    rows += [(900, " ".join(words), "en", "plain"), (901, " ".join(words), "en", "code")]
+    for s in ("plain", "code"):
+        rates[s].append(40.5 / 301)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    limits = {r["_source"]: r for r in quality.thresholds(quality.with_rates(quality.with_statistics(df))).collect()}
+    for s, x in rates.items():  # so few values are kept whole by the sketch
+        q1, q3 = np.quantile(np.log(x), [0.25, 0.75], method="inverted_cdf")
+        assert abs(np.log(limits[s]["_high_symbol_rate"]) - (q3 + quality.REACH * (q3 - q1))) < 0.06
+    assert limits["code"]["_high_symbol_rate"] > 2 * limits["plain"]["_high_symbol_rate"]
+    got = {r["doc_id"]: r for r in quality.keep_rules(df).collect()}
+    assert "symbol_rate" in got[900]["failed_rules"] and not got[900]["kept"] and got[901]["kept"]
+
+
+def test_a_group_without_spread(spark):
+    same = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(i, same, "en", "s") for i in range(50)] + [(99, same.replace("w1 ", "### "), "en", "s")], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["kept"] for r in quality.keep_rules(df).collect()}
+    assert all(got[i] for i in range(50))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, table, written
+from .common import discard, row_hash, table, written
 
 #: Blocks of a source in a pass, and smaller blocks in each of these.
 BLOCKS = 1024
@@ -85,11 +85,13 @@ def mix_sources(docs: DataFrame, tokens: Column | None = None, target_entropy: f
     budget is a multiple of all tokens, or None for the least that takes every row once. A null source is a source of its
     own. A document is taken in each whole pass of its source and in the part pass while the budget lasts; the last one taken
     may go past it. Repeated rows are rows of their own; texts that are null or empty count one token. An empty table gives none.
-    Columns of docs with the names above are replaced.
+    Columns of docs with the names above are replaced; its other columns may have any names and types, maps too. Rows are
+    told apart by a hash of all columns; rows alike in all of them are taken or left together.
     """
     names = ("mix_pass", "mix_block", "mix_key", "mix_tokens", "mix_weight")
     docs = docs.drop(*names)
-    light = docs.select(F.xxhash64(*docs.columns).alias("_row"), "source", (token_count(F.col("text")) if tokens is None else tokens).alias("tokens"))
+    row = row_hash(docs)
+    light = docs.select(row.alias("_row"), "source", (token_count(F.col("text")) if tokens is None else tokens).alias("tokens"))
     light = written(light, "tokens")
     sources = written(source_tokens(light), "sources")
     if sources.isEmpty():
@@ -120,7 +122,8 @@ def mix_sources(docs: DataFrame, tokens: Column | None = None, target_entropy: f
     cuts = written(cuts, "cuts")
     for spent in (light, sources, plan, first, second):
         discard(spent)
-    rows = docs.withColumns({"_row": F.xxhash64(*docs.columns), "mix_tokens": token_count(F.col("text")) if tokens is None else tokens})
+    # docs' own columns travel in one struct, so their names meet none of the plan's
+    rows = docs.select(row.alias("_row"), "source", (token_count(F.col("text")) if tokens is None else tokens).alias("mix_tokens"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     rows = with_plan(rows, cuts, few)
     k = pass_key(F.col("passes"), seed)
     in_small = (small_block(k) < F.col("cut2")) | ((small_block(k) == F.col("cut2")) & (F.struct(k.alias("_key"), F.col("_row")) <= F.col("top")))
@@ -128,7 +131,7 @@ def mix_sources(docs: DataFrame, tokens: Column | None = None, target_entropy: f
     times = F.col("passes") + in_part.cast("int")
     out = rows.where(times > 0).withColumn("mix_pass", F.explode(F.sequence(F.lit(0), times - 1)))
     mine = pass_key(F.col("mix_pass"), seed)
-    return out.select(*docs.columns, "mix_pass", block(mine).alias("mix_block"), mine.alias("mix_key"), "mix_tokens", F.col("weight").alias("mix_weight"))
+    return out.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns], "mix_pass", block(mine).alias("mix_block"), mine.alias("mix_key"), "mix_tokens", F.col("weight").alias("mix_weight"))
 
 
 def pass_key(number: Column, seed: int) -> Column:

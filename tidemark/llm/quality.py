@@ -1,8 +1,12 @@
 """Quality rules whose thresholds adapt to each language and source.
 
 Every text gets whole-text statistics. Mergeable quantile sketches (KLL, combined on the map side and across tasks) of
-the rates are kept for each language and source; robust fences from their quantiles replace fixed cutoffs, and texts
-outside a fence of their own group are rejected, as are those that fail the base rules.
+the logarithms of its rates are kept for each language and source. A group's thresholds are fences around its own
+quartiles, a multiple of the distance between them away, so they move with the group's level and with its spread; there is no
+absolute distance. Texts outside a fence of their own group are rejected, as are those that fail the base rules.
+
+A count n among m things has the smoothed rate (n + 0.5) / (m + 1): most texts have none of what is counted, and then the
+rate says how many things showed none, so quartiles differ and one symbol in a short text is no outlier.
 """
 
 from __future__ import annotations
@@ -16,8 +20,12 @@ from .common import chunks, table, text_buffer, windows, word_bounds, word_hashe
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-#: Rates that have adaptive thresholds: (how far beyond the outer quartile in quartile distances, least distance).
-FENCES = {"symbol_rate": (4.0, 0.2), "dup_line_rate": (4.0, 0.4), "repeat_rate": (4.0, 0.2), "mean_chars": (4.0, 2.5)}
+#: Rates with adaptive thresholds, and whether low values are outliers too.
+FENCES = {"symbol_rate": False, "dup_line_rate": False, "repeat_rate": False, "mean_chars": True}
+#: How many quartile distances beyond a quartile the fences are (Tukey's far-out points).
+REACH = 3.0
+#: Pairs of quantiles whose distance is the spread: the first that is not zero counts, in units of the quartile distance of a normal one.
+SPREADS = ((0.25, 0.75, 1.0), (0.1, 0.9, 1.9), (0.01, 0.99, 3.45), (0.0, 1.0, 6.0))
 #: Groups with fewer texts than this use the thresholds of their language over all sources.
 LEAST_GROUP = 30
 #: So many groups' thresholds are broadcast at most; beyond, they are joined by a shuffle with hot groups salted.
@@ -72,40 +80,46 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 
 
 def with_rates(stats: DataFrame) -> DataFrame:
-    words = F.greatest(F.col("n_words"), F.lit(1))
+    """The base rules, and the smoothed rates; mean_chars is characters a word."""
+    smoothed = lambda n, m: (F.col(n) + 0.5) / (F.col(m) + 1)
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return stats.withColumns({
         "base_failed": base,
-        "symbol_rate": F.col("n_symbols") / words,
-        "dup_line_rate": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
-        "repeat_rate": F.col("n_repeat_words") / words,
-        "mean_chars": F.col("word_chars") / words,
+        "symbol_rate": smoothed("n_symbols", "n_words"),
+        "dup_line_rate": smoothed("n_dup_lines", "n_lines"),
+        "repeat_rate": smoothed("n_repeat_words", "n_words"),
+        "mean_chars": smoothed("word_chars", "n_words"),
     })
 
 
-def thresholds(rates: DataFrame, fences: dict = FENCES, least: int = LEAST_GROUP, sketch_k: int = 200) -> DataFrame:
-    """_lang, _source and lowest and highest allowed value of each rate: fences from sketches of all texts of a group.
+def thresholds(rates: DataFrame, fences: dict = FENCES, least: int = LEAST_GROUP, sketch_k: int = 200, reach: float = REACH) -> DataFrame:
+    """_lang, _source and lowest and highest allowed value of each rate, from sketches of all texts of a group that pass the base rules.
 
-    A null language or source is the group of the empty string. Small groups take the fences of their language.
+    A null language or source is the group of the empty string. Groups of fewer than `least` texts take the fences of their
+    language. A group whose quartiles are equal takes its spread from quantiles farther out; one whose values are all the
+    same allows that value.
     """
-    keyed = rates.select(F.coalesce("lang", F.lit("")).alias("_lang"), F.coalesce("source", F.lit("")).alias("_source"), *fences)
+    logs = [F.log(c).alias(c) for c in fences]
+    keyed = rates.where(~F.col("base_failed")).select(F.coalesce("lang", F.lit("")).alias("_lang"), F.coalesce("source", F.lit("")).alias("_source"), *logs)
     sketches = keyed.groupBy("_lang", "_source").agg(F.count("*").alias("_n"), *[F.kll_sketch_agg_double(c, F.lit(sketch_k)).alias(c) for c in fences])
     sketches = written(sketches, "sketches")
     by_lang = sketches.groupBy("_lang").agg(*[F.kll_merge_agg_double(c).alias(f"_all_{c}") for c in fences])
     joined = sketches.join(by_lang.hint("merge"), "_lang")
     out = [F.col("_lang"), F.col("_source")]
-    for c, (times, slack) in fences.items():
+    for c, both in fences.items():
         sketch = F.when(F.col("_n") >= least, F.col(c)).otherwise(F.col(f"_all_{c}"))
-        q1, q3 = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
-        reach = F.greatest(times * (q3 - q1), F.lit(slack))
-        out += [(q1 - reach).alias(f"_low_{c}"), (q3 + reach).alias(f"_high_{c}")]
+        at = lambda q, s=sketch: F.kll_sketch_get_quantile_double(s, F.lit(q))
+        spread = F.coalesce(*[F.nullif((at(hi) - at(lo)) / unit, F.lit(0.0)) for lo, hi, unit in SPREADS], F.lit(0.0))
+        low = F.exp(at(0.25) - reach * spread) * (1 - 1e-9) if both else F.lit(0.0)
+        out += [low.alias(f"_low_{c}"), (F.exp(at(0.75) + reach * spread) * (1 + 1e-9)).alias(f"_high_{c}")]
     return joined.select(*out)
 
 
 def keep_rules(docs: DataFrame, fences: dict = FENCES, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
-    """Statistics, rates, base_failed, the failed adaptive rules and kept of each row of docs.
+    """doc_id, lang, source, statistics, rates, base_failed, the failed adaptive rules and kept of each row of docs.
 
     Null and empty texts have no words and fail the base rules. Repeated rows are each judged. An empty table gives no rows.
+    Columns other than doc_id, text, lang and source are not read.
     """
     rates = with_rates(written(with_statistics(docs), "statistics"))
     limits = written(thresholds(rates, fences), "limits")

@@ -21,7 +21,8 @@ from .common import chunks, discard, table, written
 SAMPLE_ROWS = 12_000
 #: A term must mark so many sampled texts that no earlier term marks, and this share of the texts with it must be toxic.
 LEAST_TEXTS, LEAST_SHARE = 6, 0.8
-MOST_TERMS = 400
+#: Size of the lexicon, and of the terms that it is chosen from: parameters of the model, like SAMPLE_ROWS.
+MOST_TERMS, MOST_CANDIDATES = 400, 5000
 STEM_SIZES = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
 #: Marks that open or close a quotation, and words that attribute speech to others.
@@ -235,7 +236,10 @@ def split_remainder():
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """text and toxic of at most `rows` labelled texts outside the held-out fold, those of the lowest id hashes."""
+    """text and toxic of at most `rows` labelled texts outside the held-out fold, those of the lowest id hashes.
+
+    A doc_id with several labels is toxic if one of them says so; one with several texts gives them all.
+    """
     known = labels.where("doc_id is not null and toxic is not null").where(split_remainder() != 2).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     known = written(known, "labels")
     share = 1.2 * rows / max(known.count(), 1)  # so that few more than `rows` are sorted
@@ -303,7 +307,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Toxici
     """Fit lexicon, exceptions and weights on the labelled sample. Without toxic texts the lexicon is empty and all scores are low."""
     sample = labelled_sample(docs, labels, rows)
     share = F.col("toxic") / (F.col("toxic") + F.col("other"))
-    counts = term_counts(sample).where((F.col("toxic") >= LEAST_TEXTS // 2) & (share >= LEAST_SHARE)).orderBy(F.desc("toxic"), "term").limit(5000).collect()
+    counts = term_counts(sample).where((F.col("toxic") >= LEAST_TEXTS // 2) & (share >= LEAST_SHARE)).orderBy(F.desc("toxic"), "term").limit(MOST_CANDIDATES).collect()
     candidates = {r["term"]: (r["toxic"], r["other"]) for r in counts}
 
     def present(batches):
@@ -349,20 +353,25 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Toxici
     return ToxicityModel(words, stems, strict, exceptions, weights)
 
 
-def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """All columns of docs and tox_score, from the whole text alone; a null text counts as empty. Rows stay as they are."""
+def score(docs: DataFrame, model: ToxicityModel, name: str = "tox_score") -> DataFrame:
+    """All columns of docs and, as `name`, the score from the whole text alone; a null text counts as empty.
+
+    Each row has a score of its own, repeated rows the same one; an empty table gives none. A column of docs called `name`
+    is replaced; other columns may have any names.
+    """
+    docs = docs.drop(name)
     columns = docs.columns
 
     def judge(batches):
         for batch in batches:
             for part in chunks(batch):
                 texts = [t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.scores(texts), pa.float64())], names=[*columns, "tox_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.scores(texts), pa.float64())], names=[*columns, name])
 
-    return docs.mapInArrow(judge, T.StructType([*docs.schema.fields, T.StructField("tox_score", T.DoubleType())]))
+    return docs.mapInArrow(judge, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def query_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = score(docs.select("doc_id", "text"), train(docs, labels))
-    return scored.select("doc_id", (split_remainder() == 2).alias("held_out"), F.col("tox_score").alias("score"), (F.col("tox_score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(split_remainder() == 2, F.lit(False)).alias("held_out"), F.col("tox_score").alias("score"), (F.col("tox_score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -9,21 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, neardup, packing, pii, toxicity
-from tidemark.llm.common import shared_dir, table, written
+from tidemark.llm.common import free_name, shared_dir, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the toxicity model does not reject; it learns from `labels`."""
-    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
-    return scored.where(F.col("tox_score") < toxicity.THRESHOLD).drop("tox_score")
+    score = free_name(docs, "tox_score")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), score)
+    return scored.where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near duplicates stays, that of the smallest doc_id; rows without doc_id stay."""
-    classes = neardup.duplicate_classes(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("_copy")).distinct()
-    kept = docs.join(classes.hint("merge"), docs["doc_id"] == classes["_copy"], "left_anti")
-    repeated = kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    """One row of each class of near duplicates stays, that of the smallest doc_id; rows without doc_id come last."""
+    return neardup.without_copies(docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

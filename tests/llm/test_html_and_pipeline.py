@@ -15,6 +15,15 @@ CASES = {
     "<b>bold<i>both</b>after": "boldbothafter",
     "": "",
     None: "",
+    "<table><tr><td colspan=2>a<td>b<tr><td>cc<td>dd<td>ee</table>": "a       b\ncc  dd  ee",
+    "<table><tr><td rowspan=2>a<td>b<tr><td>c</table>": "a  b\n   c",
+    "<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b>no</div>": "yes",
+    "<style>.x, p.y{display:none} #z{visibility:hidden}</style><i class='q x'>no</i><p class=y>no</p><div class=y>yes</div><i id=z>no</i>": "yes",
+    "<details><summary>more</summary>no<p>no</p></details>a": "more\na",
+    "<details open><summary>more</summary>yes</details>a": "more\nyes\na",
+    "pick <select><option>a<option selected>b<option>c</select> now": "pick b now",
+    "pick <select><option>a</option><option>b</option></select> now": "pick a now",
+    "<p hidden>no</p><p style='display:block' hidden>yes</p>": "yes",
     "<textarea><p>raw</textarea>": "<p>raw",
     "<table><tr><td><ul><li>in</ul></td><td>b</td></tr></table>end": "- in  b\n\nend",
 }
@@ -37,6 +46,107 @@ def test_deep_pages_end():
     assert html_text.visible_text("<div>" * 20_000 + "x") == "x"
 
 
+@pytest.mark.parametrize("part", ["<div>", "<b>x", "<p>x", "<table><tr><td>", "<ul><li>a", "<td rowspan=900 colspan=900>x<tr>", "<details><summary>", "<select><option>x", "</b></p></div>x"])
+def test_time_grows_with_the_page(part):
+    """Four times the page takes about four times as long, not sixteen times."""
+    import time
+
+    took = []
+    for n in (5_000, 20_000):
+        began = time.process_time()
+        html_text.visible_text(part * n + "x")
+        took.append(time.process_time() - began)
+    assert took[1] < 9 * took[0] + 0.3
+
+
+def tree(rng, depth=0):
+    """A random element as (name, hidden, children); leaves are words."""
+    if depth > 4 or rng.random() < 0.3:
+        return rng.choice(["one", "two words", "x", "longer text here"])
+    name = rng.choice(["div", "p", "b", "ul", "ol", "table", "section", "h2", "br"] if depth < 3 else ["b", "i", "br"])
+    if name in ("ul", "ol"):
+        children = [("li", rng.random() < 0.1, [tree(rng, depth + 2) for _ in range(rng.randint(1, 2))]) for _ in range(rng.randint(1, 3))]
+    elif name == "table":
+        children = [("tr", False, [("td", False, [tree(rng, depth + 3)]) for _ in range(rng.randint(1, 3))]) for _ in range(rng.randint(1, 3))]
+    elif name == "br":
+        children = []
+    else:
+        inner = [tree(rng, depth + (2 if name in ("p", "h2") else 1)) for _ in range(rng.randint(1, 3))]
+        children = [c for c in inner if isinstance(c, str) or name not in ("p", "h2", "b", "i") or c[0] in ("b", "i", "br")]
+    return name, rng.random() < 0.12, children
+
+
+def written_out(node):
+    if isinstance(node, str):
+        return node
+    name, hidden, children = node
+    return f"<{name}{' hidden' if hidden else ''}>" + ("" if name == "br" else "".join(map(written_out, children)) + f"</{name}>")
+
+
+def rendered(nodes, lists=0):
+    """The slow way: lines of a list of nodes, by breaks and texts in order."""
+    events = []
+
+    def visit(node, lists, number):
+        if isinstance(node, str):
+            events.append(("text", node, lists))
+            return
+        name, hidden, children = node
+        if hidden:
+            return
+        if name == "br":
+            events.append(("br", 0, lists))
+            return
+        inline, gap = name in ("b", "i"), 1 if name in ("p", "h2", "table") or (name in ("ul", "ol") and not lists) else 0
+        if not inline:
+            events.append(("break", gap, lists))
+        if name == "table":
+            rows = [[" ".join(x.strip() for x in rendered(cell[2]) if x.strip()) for cell in row[2]] for row in children]
+            wide = [max(len(r[i]) for r in rows if i < len(r)) for i in range(max(map(len, rows)))]
+            for r in rows:
+                line = "  ".join(x.ljust(w) for x, w in zip(r, wide)).rstrip()
+                events.extend([("raw", line, lists)] * bool(line) + [("break", 0, lists)])
+        own = 0
+        for c in children if name != "table" else []:
+            if name in ("ul", "ol") and not c[1]:
+                own += 1
+                events.append(("mark", f"{own}. " if name == "ol" else "- ", lists + 1))
+            visit(c, lists + (name in ("ul", "ol")), own)
+        if not inline:
+            events.append(("break", gap, lists))
+
+    for n in nodes:
+        visit(n, lists, 0)
+    out, line, gap, mark = [], "", 0, ""
+    for kind, x, deep in [*events, ("break", 0, 0)]:
+        if kind == "mark":
+            if line.strip():
+                out.append(line.rstrip())
+            line, mark = "", x
+        elif kind in ("text", "raw"):
+            if not line:
+                out += [""] * (gap if out else 0)
+                gap, line, mark = 0, "  " * max(0, deep - 1) + mark if deep else "", ""
+            line += x
+        elif kind == "br" and not line.strip():
+            gap = max(gap, 1)
+        else:
+            if line.strip():
+                out.append(line.rstrip())
+            line, gap = "", max(gap, x)
+    return out
+
+
+def test_trees_equal_the_slow_renderer():
+    import random
+
+    rng = random.Random(12)
+    for _ in range(3000):
+        nodes = [tree(rng) for _ in range(rng.randint(1, 4))]
+        source = "".join(map(written_out, nodes))
+        assert html_text.visible_text(source) == "\n".join(rendered(nodes)), source
+
+
 def test_extract_keeps_other_columns(spark):
     df = spark.createDataFrame([(1, "u", "<p>x", "old"), (2, None, None, None)], "page_id long, url string, html string, text string")
     assert [tuple(r) for r in html_text.extract(df).orderBy("page_id").collect()] == [(1, "u", "x"), (2, None, "")]

@@ -1,13 +1,19 @@
 """Visible text of web pages by a light layout: a tree builder with implied tags, visibility rules and block spacing.
 
 A scanner turns a page into tags and texts. The builder opens and closes elements as browsers do where tags are left
-out (paragraphs, list items, table cells), keeps a stack, and knows for each element whether it is shown. The renderer
+out (paragraphs, list items, table cells), keeps a stack, and knows for each element whether it is shown. Beside the
+stack it keeps the places of the open elements of each name, so a tag costs the same at any depth. The renderer
 collapses white space, starts blocks on lines of their own with blank lines around paragraphs, marks list items, and pads
-table cells so that the columns of a table line up.
+table cells so that the columns of a table line up, cells that span several columns or rows included.
+
+Hidden are: elements that never show, `hidden`, `aria-hidden`, `display: none` (with all that is inside), `visibility: hidden`
+(until an element inside is visible again), closed `<details>` but for their summary, and what rules of `<style>` with a
+single selector of a tag, a class, an id or a tag with one of these set so. Of a `<select>` the chosen option shows.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 
@@ -18,7 +24,7 @@ from .common import chunks, table
 
 #: Names of elements by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style template noscript title datalist iframe object svg math select audio video canvas".split())
+HIDDEN = frozenset("head script style template noscript title datalist iframe object svg math audio video canvas".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr".split())
 BLOCK = PARAGRAPH | frozenset("address article aside body center dd details dialog div dt fieldset figcaption footer form header html legend li main menu nav section summary tr caption thead tbody tfoot".split())
@@ -40,51 +46,83 @@ SCOPES = frozenset("table td th caption button".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-_CONCEALED = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-
-
-def concealed(name: str, raw: str) -> bool:
-    """Whether attributes hide the element."""
-    if not raw or not raw.strip("/ "):
-        return False
-    have = {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(raw)}
-    return "hidden" in have or have.get("aria-hidden", "").lower() == "true" or bool(_CONCEALED.search(have.get("style", ""))) or (name == "input" and have.get("type", "").lower() == "hidden")
+_STYLE = re.compile(r"<style\b[^>]*>(.*?)(?:</style|\Z)", re.I | re.S)
+_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_SELECTOR = re.compile(r"([A-Za-z][A-Za-z0-9-]*)?(?:([.#])([A-Za-z0-9_-]+))?")
+_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z]+)", re.I)
+#: Cells of a row reach so many columns at most, as in browsers.
+MOST_SPAN = 1000
+#: Lists are indented so many levels deep at most.
+MOST_INDENT = 20
+
+
+def declared(style: str) -> tuple[bool | None, bool | None]:
+    """What declarations say of display (shown or not) and visibility; None where they say nothing."""
+    d, v = _DISPLAY.search(style), _VISIBILITY.search(style)
+    return (None if not d else d[1].lower() != "none"), (None if not v else v[1].lower() == "visible")
+
+
+def style_rules(source: str) -> dict[tuple[str, str, str], tuple[bool | None, bool | None]]:
+    """(tag, mark, name) of the rules of all style elements that say something of display or visibility; later ones count."""
+    found: dict = {}
+    if "<style" not in source and "<STYLE" not in source.upper():
+        return found
+    for sheet in _STYLE.finditer(source):
+        for rule in _RULE.finditer(re.sub(r"/\*.*?(?:\*/|\Z)", "", sheet[1], flags=re.S)):
+            display, visible = declared(rule[2])
+            if display is None and visible is None:
+                continue
+            for selector in rule[1].split(","):
+                m = _SELECTOR.fullmatch(selector.strip())
+                if m and m[0]:
+                    key = ((m[1] or "").lower(), m[2] or "", m[3] or "")
+                    before = found.get(key, (None, None))
+                    found[key] = tuple(new if new is not None else old for new, old in zip((display, visible), before))
+    return found
 
 
 class Page:
-    """Open elements as (name, shown), and the lines so far; a table collects rows of cells until it ends."""
+    """Open elements, and the lines so far; a table collects rows of cells until it ends."""
 
-    def __init__(self):
-        self.stack: list[tuple[str, bool]] = []
+    def __init__(self, rules: dict | None = None):
+        self.stack: list[tuple[str, bool, bool]] = []  # name, displayed, visible
+        self.at: dict[str, list[int]] = {}  # places in the stack of each name
+        self.rules = rules or {}
         self.out: list[str] = []  # finished lines of the innermost flow
-        self.line = ""
+        self.line: list[str] = []
         self.gap = 0  # blank lines wanted before the next text
-        self.flows: list[tuple] = []  # outer flows while a table cell is open
-        self.tables: list[list[list[str]]] = []
+        self.flows: list[tuple] = []  # outer flows while a cell or an option is open
+        self.tables: list[list[list[tuple[str, int, int]]]] = []
         self.lists: list[list] = []
         self.marker = ""
+        self.spans: list[tuple[int, int]] = []
+        self.selects: list[list] = []  # chosen text, whether by mark
 
     @property
     def shown(self) -> bool:
-        return not self.stack or self.stack[-1][1]
+        return not self.stack or (self.stack[-1][1] and self.stack[-1][2])
 
     def text(self, raw: str) -> None:
-        if not self.shown:
+        if not self.shown or (self.stack and self.stack[-1][0] == "select") or self.closed_details():
             return
         x = html.unescape(raw) if "&" in raw else raw
-        if any(n == "pre" for n, _ in self.stack):
+        if self.at.get("pre"):
             first, *rest = x.split("\n")
             self.put(first)
             for part in rest:
-                self.out.append(self.line.rstrip())
-                self.line = ""
+                self.out.append("".join(self.line).rstrip())
+                self.line = []
                 self.put(part)
             return
         x = _SPACE.sub(" ", x)
         if x == " " and not self.line:
             return
-        self.put(x[1:] if x[:1] == " " and (not self.line or self.line[-1] == " ") else x)
+        self.put(x[1:] if x[:1] == " " and (not self.line or self.line[-1][-1] == " ") else x)
+
+    def closed_details(self) -> bool:
+        return bool(self.stack) and self.stack[-1][0] == "details-closed"
 
     def put(self, x: str) -> None:
         if not x:
@@ -93,37 +131,71 @@ class Page:
             if self.gap and self.out:
                 self.out += [""] * self.gap
             self.gap = 0
-            self.line = "  " * max(0, len(self.lists) - 1) + self.marker if self.lists else ""
+            lead = "  " * min(max(0, len(self.lists) - 1), MOST_INDENT) + self.marker if self.lists else ""
+            if lead:
+                self.line.append(lead)
             self.marker = ""
-        self.line += x
+        self.line.append(x)
 
     def end_line(self, gap: int = 0) -> None:
-        if self.line.strip():
-            self.out.append(self.line.rstrip())
-        self.line = ""
+        line = "".join(self.line).rstrip()
+        if line:
+            self.out.append(line)
+        self.line = []
         self.gap = max(self.gap, gap)
 
+    def state(self, name: str, raw: str) -> tuple[bool, bool]:
+        """Whether a new element is displayed and whether it is visible."""
+        displayed, visible = (self.stack[-1][1], self.stack[-1][2]) if self.stack else (True, True)
+        if not displayed or name in HIDDEN or (self.closed_details() and name != "summary"):
+            return False, visible
+        display = None
+        if self.rules:
+            display, seen = self.rules.get((name, "", ""), (None, None))
+            visible = visible if seen is None else seen
+        if raw and raw.strip("/ "):
+            have = {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(raw)}
+            if self.rules:
+                marks = [(".", c) for c in have.get("class", "").split()] + [("#", have.get("id", ""))] * ("id" in have)
+                for tag, mark, own in [(t, *m) for m in marks for t in ("", name)]:
+                    d, seen = self.rules.get((tag, mark, own), (None, None))
+                    display = display if d is None else d
+                    visible = visible if seen is None else seen
+            if have.get("style"):
+                d, seen = declared(have["style"])
+                display = display if d is None else d
+                visible = visible if seen is None else seen
+            elif "hidden" in have and display is None:
+                display = False
+            if have.get("aria-hidden", "").lower() == "true" or (name == "input" and have.get("type", "").lower() == "hidden") or ("hidden" in have and display is not True):
+                return False, visible
+        return display is not False, visible
+
+    def push(self, name: str, displayed: bool, visible: bool) -> None:
+        self.at.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, displayed, visible))
+
     def open(self, name: str, raw: str) -> None:
         if name in ENDS:
             self.close_up_to(*ENDS[name])
         if name in CLOSES_P:
             self.close_up_to(("p",), SCOPES)
-        if name in ("td", "th") and self.tables and not any(n == "tr" for n, _ in self.stack[self.last("table") :]):
+        if name in ("td", "th") and self.tables and self.last("tr") < self.last("table"):
             self.open("tr", "")
-        shown = self.shown and name not in HIDDEN and not concealed(name, raw)
+        displayed, visible = self.state(name, raw)
+        shown = displayed and visible
         if name in VOID:
             if shown and name == "br":
-                if self.line.strip():
+                if "".join(self.line).strip():
                     self.end_line()
                 else:
                     self.gap = max(self.gap, 1)
             elif shown and name == "hr":
                 self.end_line(1)
-            elif shown and name == "wbr":
-                pass
             return
-        self.stack.append((name, shown))
-        if not shown:
+        closed = name == "details" and displayed and not re.search(r"(?:^|\s)open(?:[\s=/]|$)", raw or "", re.I)
+        self.push("details-closed" if closed else name, displayed, visible)
+        if not displayed:
             return
         if name == "table":
             self.end_line(1)
@@ -131,8 +203,18 @@ class Page:
         elif name == "tr" and self.tables:
             self.tables[-1].append([])
         elif name in ("td", "th") and self.tables:
-            self.flows.append((self.out, self.line, self.gap, self.lists, self.marker))
-            self.out, self.line, self.gap, self.lists, self.marker = [], "", 0, [], ""
+            spans = dict.fromkeys(("colspan", "rowspan"), 1)
+            for m in _ATTRIBUTE.finditer(raw or ""):
+                value = (m[2] or "").strip("\"'")
+                if m[1].lower() in spans and value.isascii() and value.isdigit() and len(value) < 6:
+                    spans[m[1].lower()] = min(max(1, int(value)), MOST_SPAN)
+            self.spans.append((spans["colspan"], spans["rowspan"]))
+            self.enter()
+        elif name == "select":
+            self.selects.append(["", False])
+        elif name == "option" and self.selects:
+            self.selects[-1].append(bool(re.search(r"(?:^|\s)selected(?:[\s=/]|$)", raw or "", re.I)))
+            self.enter()
         elif name in BLOCK:
             self.end_line(1 if name in PARAGRAPH and not (name in ("ul", "ol") and self.lists) else 0)
         if name in ("ul", "ol", "menu"):
@@ -141,48 +223,63 @@ class Page:
             self.lists[-1][1] += 1
             self.marker = f"{self.lists[-1][1]}. " if self.lists[-1][0] == "ol" else "- "
 
-    def last(self, name: str) -> int:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == name:
-                return i
-        return 0
+    def enter(self) -> None:
+        """A flow of its own."""
+        self.flows.append((self.out, self.line, self.gap, self.lists, self.marker))
+        self.out, self.line, self.gap, self.lists, self.marker = [], [], 0, [], ""
+
+    def leave(self) -> str:
+        """The text of the flow that ends, on one line."""
+        self.end_line()
+        cell = " ".join(x.strip() for x in self.out if x.strip())
+        self.out, self.line, self.gap, self.lists, self.marker = self.flows.pop()
+        return cell
+
+    def last(self, *names: str) -> int:
+        """Place of the innermost open element of these names, -1 if none is."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=-1)
 
     def close_up_to(self, names, bounds) -> None:
         """End the outermost open element among names that no bound encloses more closely."""
-        found = None
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] in bounds:
-                break
-            if self.stack[i][0] in names:
-                found = i
-        if found is not None:
-            while len(self.stack) > found:
-                self.pop()
+        bound, found = self.last(*bounds), len(self.stack)
+        for n in names:
+            places = self.at.get(n)
+            if places and places[-1] > bound:
+                found = min(found, places[bisect.bisect_right(places, bound)])
+        self.cut(found)
 
     def close(self, name: str) -> None:
         if name == "br":
             self.open("br", "")
             return
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == name:
-                while len(self.stack) > i:
-                    self.pop()
-                return
-            if self.stack[i][0] in ("td", "th", "table") and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                return  # an end tag does not reach out of its cell
+        if name == "details":
+            name = "details" if self.last("details") > self.last("details-closed") else "details-closed"
+        place = self.last(name)
+        # an end tag does not reach out of its cell
+        if place >= 0 and (name in ("table", "tr", "tbody", "thead", "tfoot", "body", "html") or place >= self.last("td", "th", "table")):
+            self.cut(place)
+
+    def cut(self, place: int) -> None:
+        while len(self.stack) > place:
+            self.pop()
 
     def pop(self) -> None:
-        name, shown = self.stack.pop()
-        if not shown:
+        name, displayed, _ = self.stack.pop()
+        self.at[name].pop()
+        if not displayed:
             return
-        if name in ("td", "th") and self.flows:
-            self.end_line()
-            cell = " ".join(x.strip() for x in self.out if x.strip())
-            self.out, self.line, self.gap, self.lists, self.marker = self.flows.pop()
+        name = "details" if name == "details-closed" else name
+        if name in ("td", "th") and self.spans and self.flows:
+            cell = self.leave()
             if self.tables:
                 if not self.tables[-1]:
                     self.tables[-1].append([])
-                self.tables[-1][-1].append(cell)
+                self.tables[-1][-1].append((cell, *self.spans.pop()))
+        elif name == "option" and self.selects and len(self.selects[-1]) == 3 and self.flows:
+            text, (now, marked, own) = self.leave(), self.selects[-1]
+            self.selects[-1] = [text, own or marked] if own or not (now or marked) else [now, marked]
+        elif name == "select" and self.selects:
+            self.put(self.selects.pop()[0])
         elif name == "table" and self.tables:
             rows = [r for r in self.tables.pop() if r]
             self.end_line(1)
@@ -196,15 +293,57 @@ class Page:
             self.lists.pop()
 
 
-def aligned(rows: list[list[str]]) -> list[str]:
-    """Lines of a table, each column as wide as its widest cell, two spaces apart."""
-    widths = [max((len(r[i]) for r in rows if i < len(r)), default=0) for i in range(max(map(len, rows), default=0))]
-    return ["  ".join(x.ljust(w) for x, w in zip(r, widths)).rstrip() for r in rows]
+def placed(rows: list[list[tuple[str, int, int]]]) -> list[list[tuple[int, int, str]]]:
+    """First column, end column and text of each cell: cells take the columns that cells of rows above leave free."""
+    out, taken = [], []  # taken: (first, end, rows left), in order
+    for row in rows:
+        own, fresh, at, k = [], [], 0, 0
+        for text, wide, high in row:
+            while k < len(taken) and taken[k][0] < at + 1:  # a cell from above that begins here or before
+                at, k = max(at, taken[k][1]), k + 1
+            own.append((at, at + wide, text))
+            fresh += [(at, at + wide, high)] * (high > 1)
+            at += wide
+            while k < len(taken) and taken[k][0] < at:  # overlapped ones end, as in browsers
+                k += 1
+        taken = sorted((a, z, left - 1) for a, z, left in [*taken, *fresh] if left > 1)
+        out.append(own)
+    return out
+
+
+def aligned(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+    """Lines of a table, each column as wide as its widest cell of one column, two spaces apart; only columns in which a cell begins count."""
+    cells = placed(rows)
+    begins = sorted({a for row in cells for a, _, _ in row})
+    number = {a: i for i, a in enumerate(begins)}
+    cells = [[(number[a], bisect.bisect_left(begins, z), text) for a, z, text in row] for row in cells]
+    widths = [0] * len(begins)
+    for row in cells:
+        for a, z, text in row:
+            if z - a == 1:
+                widths[a] = max(widths[a], len(text))
+    for row in cells:  # what spans several columns widens the last of them
+        for a, z, text in row:
+            if z - a > 1:
+                widths[z - 1] += max(0, len(text) - sum(widths[a:z]) - 2 * (z - a - 1))
+    starts = [0]
+    for w in widths:
+        starts.append(starts[-1] + w + 2)
+    lines = []
+    for row in cells:
+        parts, at = [], 0
+        for a, _, text in row:
+            if text:
+                parts += [" " * (starts[a] - at), text]
+                at = starts[a] + len(text)
+        lines.append("".join(parts))
+    return lines
 
 
 def visible_text(source: str | None) -> str:
     """All visible text of a page; a null or empty page has none."""
-    page, at, source = Page(), 0, source or ""
+    source = source or ""
+    page, at = Page(style_rules(source)), 0
     lower = None
     while at < len(source):
         lt = source.find("<", at)
@@ -243,9 +382,10 @@ def visible_text(source: str | None) -> str:
 
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
-    """All columns of pages but the source, and `text`, the visible text (empty for null pages). Rows stay as they are.
+    """All columns of pages but the source, and `text`, the visible text (empty for null and empty pages). Rows stay as they are.
 
-    A column of pages named text is replaced. Malformed pages give what can be read; unclosed elements end with the page.
+    A column of pages named text is replaced; other columns may have any names. Repeated rows are each rendered, an empty
+    table gives none. Malformed pages give what can be read; unclosed elements end with the page.
     """
     kept = [c for c in pages.columns if c not in (column, "text")]
     source = pages.select(*kept, column)

@@ -1,12 +1,14 @@
 """Personal data: base patterns, and a linear-chain conditional random field over word shapes that adds to them.
 
 The field is trained on the driver from a small labelled table (at most `most_rows` rows) and has a few thousand
-weights. Tasks decode with Viterbi in numpy, many windows at a time. A window is a run of words in which each is within
-`REACH` words of a word with a digit or an at sign; words outside all windows hold no personal data by definition.
+weights. Tasks decode every word of every text with Viterbi in numpy. Where a word's own scores for "nothing" lead by more
+than any labels of its neighbours could make up for, every best path has "nothing" there; such words cut a text into
+stretches that are decoded apart, many at a time, with the same result as the whole.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -14,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import chunks, table
+from .common import chunks, table, text_buffer, word_bounds, word_hashes
 
 #: Kinds in order, their patterns and their checks.
 KINDS = ("email", "ip", "card", "phone")
@@ -86,11 +88,6 @@ call me in 5 minutes or 10
 ip address of the host
 """
 
-REACH = 3
-_TRIGGER = re.compile(r"[0-9@]|[(\[](?:at|AT)[)\]]")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -101,6 +98,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def at_most_255(digits: str) -> bool:
+    """Whether a number of any length, leading zeros too, is at most 255."""
+    digits = digits.lstrip("0")
+    return len(digits) < 3 or (len(digits) == 3 and digits <= "255")
+
+
 def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """Leftmost non-overlapping matches of each kind that pass its check; a match that fails is dropped and not retried."""
     emails, past, at = [], 0, text.find("@")
@@ -113,7 +116,7 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
             emails.append((start, tail.end()))
             past = tail.end()
         at = text.find("@", max(at + 1, past))
-    ips = [m.span() for m in _IP.finditer(text) if max(int(x) for x in m[0].split(".")) <= 255] if "." in text else []
+    ips = [m.span() for m in _IP.finditer(text) if all(at_most_255(x) for x in m[0].split("."))] if "." in text else []
     cards = []
     for m in _CARD.finditer(text):
         if 13 <= m.end() - m.start():
@@ -140,6 +143,19 @@ def shape(word: str) -> tuple[str, ...]:
     )
 
 
+_ASCII = {c: "0" if chr(c).isdigit() else "a" if chr(c).islower() else "A" if chr(c).isupper() else chr(c) for c in range(128)}
+_OTHER = re.compile(r"[^\x00-\x7f]")
+
+
+def signature(word: str) -> tuple:
+    """What shape() depends on: words of one signature have one shape."""
+    low, length = word.lower(), len(word)
+    full = (word[:40] if word.isascii() else _OTHER.sub("u", word[:40])).translate(_ASCII)
+    digits = full.count("0") if length <= 40 else sum(map(word.count, "0123456789"))
+    year = length == 4 and digits == 4 and word[:2] in ("18", "19", "20")
+    return full, min(length, 14), digits, year, word.isalpha(), low if low in _KEPT_WORDS else low.strip("()[]") == "at" and low != "at", length > 40 and "@" in word
+
+
 class ShapeField:
     """Linear-chain field: emission weights of each feature at offsets -1, 0 and 1, and transition weights."""
 
@@ -196,40 +212,79 @@ class ShapeField:
 
     def word_scores(self, word: str) -> np.ndarray:
         """3 x labels: what the word gives to the word after it, itself and the word before it."""
-        found = self.memo.get(word)
+        key = signature(word)
+        found = self.memo.get(key)
         if found is None:
             rows = self._row(word)
             found = self.weights[:, rows].sum(1)
             if len(self.memo) > 50_000:
                 self.memo.clear()
-            self.memo[word] = found
+            self.memo[key] = found
         return found
 
-    def decode(self, windows: list[list[str]]) -> list[np.ndarray]:
-        """The best label of each word of each window, all windows of a batch at once."""
-        lengths = np.array([len(w) for w in windows])
-        n, k, most = len(windows), len(LABELS), int(lengths.max())
+    def scores(self, table: np.ndarray, which: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """words x labels scores in context; table[which] has each word's word_scores, doc the number of its text."""
         edge = self.weights[:, len(self.index)]
-        scores = np.zeros((n, most, k))
-        for i, words in enumerate(windows):
-            own = np.array([self.word_scores(w) for w in words])  # words x 3 x labels
-            scores[i, : len(words)] = own[:, 1]
-            scores[i, 1 : len(words)] += own[:-1, 0]
-            scores[i, 0] += edge[0]
-            scores[i, : len(words) - 1] += own[1:, 2]
-            scores[i, len(words) - 1] += edge[2]
+        out = table[which, 1]
+        same = doc[1:] == doc[:-1]
+        before = np.broadcast_to(edge[0], (len(which), len(LABELS))).copy()
+        before[1:][same] = table[which[:-1][same], 0]
+        out += before
+        behind = np.broadcast_to(edge[2], (len(which), len(LABELS))).copy()
+        behind[:-1][same] = table[which[1:][same], 2]
+        return out + behind
+
+    def certain(self, scores: np.ndarray) -> np.ndarray:
+        """Words that every best path leaves without a label: exchanging the label for O gains more than both moves can lose."""
+        m = self.moves
+        lost = np.maximum((m - m[:, :1]).max(0), 0) + np.maximum((m - m[:1]).max(1), 0)
+        return (scores[:, :1] - scores[:, 1:] > lost[1:] + 1e-9).all(1)
+
+    def label(self, scores: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """The best label of each word; texts are the runs of equal doc."""
+        out = np.zeros(len(scores), np.int8)
+        open_ = np.flatnonzero(~self.certain(scores))
+        if not len(open_):
+            return out
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(open_) > 1) | (doc[open_[1:]] != doc[open_[:-1]])]))
+        first, last = open_[new], open_[np.append(new[1:], len(open_)) - 1]
+        # a stretch takes along the words without label at its ends
+        left = (first > 0) & (doc[np.maximum(first - 1, 0)] == doc[first])
+        right = (last + 1 < len(doc)) & (doc[np.minimum(last + 1, len(doc) - 1)] == doc[last])
+        begin, length = first - left, last + right + 1 - (first - left)
+        order = np.argsort(length, kind="stable")
+        while len(order):  # the longest first; cells of one batch are bounded
+            now, order = order[-max(1, 200_000 // int(length[order[-1]])) :], order[: -max(1, 200_000 // int(length[order[-1]]))]
+            most = int(length[now].max())
+            at = begin[now, None] + np.arange(most)
+            inside = np.arange(most) < length[now, None]
+            part = scores[np.where(inside, at, 0)]
+            part[:, 0, 1:] -= 1e9 * left[now, None]
+            ends = np.flatnonzero(right[now])
+            part[ends, length[now[ends]] - 1, 1:] -= 1e9
+            out[at[inside]] = self.viterbi(part, length[now])[inside]
+        return out
+
+    def viterbi(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The best labels of sequences x words x labels, each as long as its length says."""
+        n, most, k = scores.shape
         best, back = scores[:, 0], np.zeros((most, n, k), np.int8)
         for t in range(1, most):
             step = best[:, :, None] + self.moves[None]
             back[t] = step.argmax(1)
-            live = (lengths > t)[:, None]
-            best = np.where(live, step.max(1) + scores[:, t], best)
-        labels = np.zeros((n, most), np.int8)
-        now = best.argmax(1)
+            best = np.where((lengths > t)[:, None], step.max(1) + scores[:, t], best)
+        labels, now = np.zeros((n, most), np.int8), best.argmax(1)
         for t in range(most - 1, -1, -1):
             labels[:, t] = now
             now = np.where(lengths > t, back[t][np.arange(n), now], now) if t else now
-        return [labels[i, :m] for i, m in enumerate(lengths)]
+        return labels
+
+    def decode(self, windows: list[list[str]]) -> list[np.ndarray]:
+        """The best label of each word of each sequence."""
+        table = np.array([self.word_scores(w) for words in windows for w in words]).reshape(-1, 3, len(LABELS))
+        doc = np.repeat(np.arange(len(windows)), [len(w) for w in windows])
+        labels = self.label(self.scores(table, np.arange(len(table)), doc), doc)
+        return np.split(labels, np.cumsum([len(w) for w in windows])[:-1])
 
 
 def parse_labelled(text: str = LABELLED) -> list[tuple[list[str], list[str]]]:
@@ -250,70 +305,44 @@ def train(labelled: DataFrame, most_rows: int = 2000) -> ShapeField:
     return ShapeField([(list(r["words"]), list(r["labels"])) for r in rows if r["words"]])
 
 
-def candidate_windows(text: str) -> list[list[tuple[int, int]]]:
-    """Spans of the words of each window."""
-    groups: list[list[tuple[int, int]]] = []
-    done, at = 0, _TRIGGER.search(text)
-    while at:
-        # the words around the trigger, found outward from it
-        start = at.start()
-        head = text[max(done, start - 400) : start]
-        before = [(max(done, start - 400) + m.start(), max(done, start - 400) + m.end()) for m in _WORD.finditer(head)]
-        inside = bool(before) and before[-1][1] == start
-        first = before[-(REACH + inside) :]
-        begin = first[0][0] if first else start
-        words, seen, past = [], 0, False
-        for m in _WORD.finditer(text, begin):
-            words.append(m.span())
-            past = m.end() > start
-            if past:
-                hit = _TRIGGER.search(m[0]) is not None
-                seen = 0 if hit else seen + 1
-                if seen == REACH:
-                    break
-        done = words[-1][1]
-        groups.append(words)
-        at = _TRIGGER.search(text, done)
-    return groups
-
-
 _TRIM = "#*$%&|<>,;:!?\"'"
 
 
 def added_spans(texts: list[str], found: list[dict], field: ShapeField) -> list[list[tuple[str, int, int]]]:
     """Spans that the field finds and that touch no base span: runs of one label, without symbols at the ends."""
-    windows, owner = [], []
-    for i, t in enumerate(texts):
-        for w in candidate_windows(t):
-            windows.append(w)
-            owner.append(i)
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    order = sorted(range(len(windows)), key=lambda i: len(windows[i]))
-    for lo in range(0, len(order), 2048):
-        part = order[lo : lo + 2048]
-        while part:
-            most = max(1, 400_000 // len(windows[part[-1]]))  # the longest are last; cells of one batch are bounded
-            now, part = part[-most:], part[:-most]
-            cut = [[texts[owner[i]][a:b].strip(_TRIM) or "-" for a, b in windows[i]] for i in now]
-            for i, labels in zip(now, field.decode(cut)):
-                k = 0
-                while k < len(labels):
-                    z = k
-                    while z < len(labels) and labels[z] == labels[k]:
-                        z += 1
-                    if labels[k]:
-                        t = texts[owner[i]]
-                        a, b = windows[i][k][0], windows[i][z - 1][1]
-                        while a < b and t[a] in _TRIM:
-                            a += 1
-                        while b > a and t[b - 1] in _TRIM + ".":
-                            b -= 1
-                        label = LABELS[labels[k]]
-                        digits = sum(c in "0123456789" for c in t[a:b])
-                        fits = digits >= 7 if label in ("phone", "card", "id") else digits >= 4 if label == "ip" else True
-                        if a < b and fits and not any(x < b and a < y for spans in found[owner[i]].values() for x, y in spans):
-                            out[owner[i]].append((label, a, b))
-                    k = z
+    buf, bounds = text_buffer(pa.array(texts, pa.string()))
+    doc, starts, ends = word_bounds(buf, bounds)
+    if not len(doc):
+        return out
+    _, first, which = np.unique(word_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+    raw = buf.tobytes()
+    table = np.array([field.word_scores(raw[a:z].decode().strip(_TRIM) or "-") for a, z in zip(starts[first].tolist(), ends[first].tolist())])
+    labels = field.label(field.scores(table, which, doc), doc)
+    new = np.flatnonzero(np.concatenate([[True], (labels[1:] != labels[:-1]) | (doc[1:] != doc[:-1])]))
+    past = np.append(new[1:], len(labels))
+    points = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])  # code points before each byte
+    known: dict[int, tuple[list[int], np.ndarray]] = {}
+    for i, j in zip(new, past):
+        if not labels[i]:
+            continue
+        d = int(doc[i])
+        t, origin = texts[d], points[bounds[d]]
+        a, b = int(points[starts[i]] - origin), int(points[ends[j - 1]] - origin)
+        while a < b and t[a] in _TRIM:
+            a += 1
+        while b > a and t[b - 1] in _TRIM + ".":
+            b -= 1
+        label = LABELS[labels[i]]
+        digits = sum(map(t[a:b].count, "0123456789"))
+        fits = digits >= 7 if label in ("phone", "card", "id") else digits >= 4 if label == "ip" else True
+        if d not in known:
+            base = sorted(span for spans in found[d].values() for span in spans)
+            known[d] = [x for x, _ in base], np.maximum.accumulate([y for _, y in base] or [0])
+        begins, reach = known[d]
+        k = bisect.bisect_left(begins, b)  # base spans that begin before the end; one of them may reach over the start
+        if a < b and fits and not (k and reach[k - 1] > a):
+            out[d].append((label, a, b))
     return out
 
 
@@ -326,7 +355,8 @@ def find(docs: DataFrame, field: ShapeField, redact: bool = False) -> DataFrame:
 
     Returns doc_id, n_email, n_ip, n_card, n_phone and base_sha256 of the base matches, and spans: base ones and those the
     field adds, as kind:start:end in code points. With redact, only the columns of docs, each span in `text` replaced by its
-    kind in brackets (a null text stays null). Repeated rows are each scanned; an empty table gives no rows.
+    kind in brackets (a null text stays null). Repeated rows are each scanned; an empty table gives no rows. Columns other
+    than doc_id and text are not read, or with redact come through as they are, whatever their names.
     """
     columns = docs.columns
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]

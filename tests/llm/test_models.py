@@ -31,7 +31,13 @@ def test_base_scores_are_exact(spark, sf_dir):
 
 def test_the_model_beats_the_base_on_held_out_texts(spark):
     rows = maxent_lm.language_model_scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
-    assert sum(r["score"] for r in rows) > 0.98 * sum(r["base_score"] for r in rows)
+    assert sum(r["score"] for r in rows) > 0.9 * sum(r["base_score"] for r in rows)  # logarithms: a tenth better
+
+
+def test_scores_do_not_depend_on_partitions(spark, docs):
+    found = [{r["doc_id"]: r["score"] for r in maxent_lm.language_model_scores(docs.repartition(n), block_bytes=60_000).collect()} for n in (1, 7)]
+    assert found[0].keys() == found[1].keys()
+    assert all(abs(x - found[1][i]) < 1e-4 * abs(x) for i, x in found[0].items())
 
 
 def test_language_model_on_odd_and_empty_tables(odd_docs, no_docs):
@@ -40,12 +46,35 @@ def test_language_model_on_odd_and_empty_tables(odd_docs, no_docs):
     assert maxent_lm.language_model_scores(no_docs).count() == 0
 
 
-def test_class_probabilities_sum_to_one():
+def test_next_words_sum_to_one():
+    """p(word | history) over all words of the vocabulary, the end and the unseen word, for random weights and histories."""
     rng = np.random.default_rng(0)
-    w = rng.normal(0, 1, (3 * maxent_lm.BUCKETS, maxent_lm.CLASSES)).astype(np.float32)
-    _, rows, cut = maxent_lm.histories([bytes(rng.integers(0, 30, 30, dtype=np.uint8)), b"", bytes(3)])
-    p = np.exp(maxent_lm.class_log_probabilities(w, np.zeros(maxent_lm.CLASSES, np.float32), rows))
-    assert np.allclose(p.sum(1), 1, atol=1e-4) and cut.tolist() == [0, 10, 10, 11]
+    m, size = maxent_lm, 64
+    vocabulary = rng.integers(1, 2**63, 80, dtype=np.uint64)
+    vocabulary[9] = m.END
+    cls = np.concatenate([np.arange(m.SINGLE), m.SINGLE + np.arange(80 - m.SINGLE) % (m.UNSEEN - m.SINGLE)])
+    share = rng.random(80)
+    share /= np.bincount(cls, weights=share, minlength=m.CLASSES)[cls]
+    unseen = np.uint64(12345)
+    index = {int(h): i for i, h in enumerate(vocabulary)}
+    votes = rng.normal(0, 1, (m.CELLS, m.GROUPS)).astype(np.float32)
+    weights, bias = rng.normal(0, 1, (3 * size + 2 * m.GROUPS + 1, m.CLASSES)).astype(np.float32), rng.normal(0, 1, m.CLASSES).astype(np.float32)
+    words = [vocabulary[i] for i in range(80) if i != 9]
+    for length in (0, 1, 2, 15):
+        history = [words[i] for i in rng.integers(0, 12, length)] + [unseen] * (length > 5)
+        total = np.zeros(len(m.AGAIN))
+        for w in [*vocabulary, unseen]:
+            hashes = np.array([*history, w, m.END], np.uint64)
+            cut = np.array([0, len(hashes)])
+            k = np.array([cls[index[int(h)]] if int(h) in index else m.UNSEEN for h in hashes])
+            u = np.array([share[index[int(h)]] if int(h) in index else 1.0 for h in hashes])
+            which = np.unique(hashes, return_inverse=True)[1]
+            code = k.astype(np.uint32) | (hashes & np.uint64(0xFFFF)).astype(np.uint32) << np.uint32(8) | m.running_groups(hashes, cut, votes)[0].astype(np.uint32) << np.uint32(24)
+            own, _, rows = m.histories(code, cut, size)
+            at = len(history)
+            p = m.class_log_probabilities(weights, bias, rows)[at, own[at]] / np.log(10)
+            total += 10 ** (p + m.word_terms(which, np.zeros(len(hashes), np.int64), k, u)[at])
+        assert np.allclose(total, 1, atol=1e-4), total
 
 
 def distance(a, b):

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import neardup
+from tidemark.llm import common, neardup
 from tidemark.llm.components import components
 
 
@@ -103,7 +103,7 @@ def test_one_row_of_each_class_stays(spark):
 
 
 def test_hot_keys_are_joined_apart(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "HOT", 3)
+    monkeypatch.setattr(common, "HOT", 3)
     rows = [(i, "the very same text of more than five words" if i % 2 else f"text {i} of its own {i + 1} {i + 2} {i * 7}") for i in range(60)]
     want = Counter((i, 1 if i % 2 else i) for i, _ in rows)
     assert classes(spark.createDataFrame(rows, "doc_id long, text string")) == want

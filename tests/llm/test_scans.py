@@ -7,7 +7,7 @@ from collections import Counter
 import pyarrow as pa
 import pytest
 
-from tidemark.llm import pii, quality, secrets
+from tidemark.llm import common, pii, quality, secrets
 
 SECRET_KINDS = (
     ("assign", re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6),
@@ -119,6 +119,17 @@ def test_ownership_separates_shared_from_live(spark):
     assert all(out[i]["n_shared"] == 1 and not out[i]["spans"] for i in range(1, 6))
 
 
+def test_many_matches_and_hot_values(spark, monkeypatch):
+    """Thousands of matches in one text, and a value that most texts hold."""
+    monkeypatch.setattr(common, "HOT", 4)
+    many = " ".join(f"token={'abcdef' * (1 + i % 3)}{i}" for i in range(3000))
+    rows = [(0, many, "en", "a")] + [(i, "secret = hunter2hunter2", "en", f"s{i % 4}") for i in range(1, 60)]
+    out = {r["doc_id"]: r for r in secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    want = sorted((m.start(), m.end()) for m in SECRET_KINDS[0][1].finditer(many))
+    assert [(x["start"], x["end"]) for x in out[0]["base"]] == want and len(want) == 3000
+    assert all(out[i]["n_shared"] == 1 and out[i]["n_live"] == 0 for i in range(1, 60))
+
+
 def brute_statistics(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)

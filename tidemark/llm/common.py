@@ -16,6 +16,9 @@ CHUNK_BYTES = 1 << 21
 #: Rows of an Arrow batch; whole texts of them are held at once, in the JVM and in Python.
 BATCH_ROWS = 2000
 
+#: Keys of more than one row in HOT are joined by a broadcast; there are fewer of them than this.
+HOT = 10_000
+
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -63,6 +66,19 @@ def written(df: DataFrame, keep: str = "table", rows: int | None = None) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+def met(rows: DataFrame, other: DataFrame, on: str, total: int) -> DataFrame:
+    """rows joined with `other`, which has one row for each key and in `copies` how many of the rows have it.
+
+    Keys of more than one row in HOT are HOT at most and are broadcast, so that no task gets all rows of one; the others are
+    joined by a shuffle.
+    """
+    hot, rest = other.where(F.col("copies") * HOT > total), other.where(F.col("copies") * HOT <= total)
+    if hot.isEmpty():
+        return rows.join(other.hint("merge"), on)
+    hot = F.broadcast(hot)
+    return rows.join(hot, on).unionByName(rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(rest.hint("merge"), on))
+
+
 def row_hash(df: DataFrame, columns: list[str] | None = None) -> Column:
     """A hash of all columns of a row, maps included."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, discard, free_name, mix, row_hash, table, windows, words, written
+from .common import chunks, discard, free_name, met, mix, row_hash, table, windows, words, written
 from .components import components
 
 SHINGLE = 5
@@ -34,9 +34,6 @@ ROUNDS, SMALL = 6, 32
 #: So many nodes are broadcast at most (16 MB) when their texts are read again.
 BROADCAST_NODES = 1_000_000
 
-#: Keys of more than one row in so many are joined by a broadcast; there are fewer of them than this.
-HOT = 10_000
-
 #: Nodes of one shingle that are held at once when its nodes are compared with one another.
 BLOCK = 1024
 
@@ -273,19 +270,6 @@ def apart(rows: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
     return met
 
 
-def met(rows: DataFrame, other: DataFrame, on: str, total: int) -> DataFrame:
-    """rows joined with `other`, which has one row for each key and in `copies` how many of the rows have it.
-
-    Keys of more than one row in HOT are HOT at most and are broadcast, so that no task gets all rows of one; the others are
-    joined by a shuffle.
-    """
-    hot, rest = other.where(F.col("copies") * HOT > total), other.where(F.col("copies") * HOT <= total)
-    if hot.isEmpty():
-        return rows.join(other.hint("merge"), on)
-    hot = F.broadcast(hot)
-    return rows.join(hot, on).unionByName(rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(rest.hint("merge"), on))
-
-
 def duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
     """doc_id and class_id (the smallest doc_id of its class) of each row of docs.
 

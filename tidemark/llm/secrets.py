@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import met, table, written
 
 #: Fixed: kind, pattern, group that holds the value, least length of that group.
 BASE_KINDS = (
@@ -20,6 +20,8 @@ BASE_KINDS = (
 )
 #: What the base kinds miss: long mixed strings, kept as spans only where they look live.
 EXTRA_KIND = ("mixed", r"[A-Za-z0-9+/_-]{24,}", 0, 24)
+#: Matches of a text whose places are summed up at a time.
+PART = 64
 #: A value that so many owners have is a copied example.
 SHARED_OWNERS = 3
 
@@ -33,8 +35,13 @@ def occurrences(text: Column, kind: int, name: str, pattern: str, group: int, le
     values = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     gaps = F.split(text, pattern, -1)
     lengths = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m")))
+    # arrays are copied when they grow: a part of the matches at a time, then the parts
     step = lambda acc, x: F.struct((acc["at"] + x["g"] + x["m"]).alias("at"), F.array_append(acc["all"], acc["at"] + x["g"]).alias("all"))
-    starts = F.aggregate(lengths, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), step, lambda acc: acc["all"])
+    part = lambda at, i: F.aggregate(F.slice(lengths, i * PART + 1, F.lit(PART)), F.struct(at.alias("at"), F.array().cast("array<int>").alias("all")), step)
+    grown = lambda acc, p: F.struct(p["at"].alias("at"), F.array_append(acc["all"], p["all"]).alias("all"))
+    parts = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / PART).cast("int"))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("all"))
+    starts = F.aggregate(parts, none, lambda acc, i: grown(acc, part(acc["at"], i)), lambda acc: F.flatten(acc["all"]))
     spans = F.transform(
         F.arrays_zip(starts.alias("s"), found.alias("m"), values.alias("v")),
         lambda x: F.struct(x["s"].alias("start"), F.lit(kind).alias("kind"), (x["s"] + F.length(x["m"])).alias("end"), F.lit(name).alias("name"), x["v"].alias("value")),
@@ -80,13 +87,15 @@ def secrets(docs: DataFrame, shared_owners: int = SHARED_OWNERS) -> DataFrame:
     """One row for each row of docs: spans, counts of shared and of owner-specific values, and of those that look live.
 
     An extra candidate becomes a span if it looks live and fewer than shared_owners owners have it. Rows with no
-    candidate have empty spans. Repeated rows are each scanned; rows of a null doc_id keep it. An empty table gives none.
+    candidate have empty spans. Repeated rows are each scanned; rows of a null doc_id keep it. An empty table gives none. Columns
+    other than doc_id, text, lang and source are not read. A value that very many places share is joined by a broadcast.
     """
     found = written(scan(docs).withColumn("_row", F.monotonically_increasing_id()), "secrets")
     every = found.select("_row", "repository", "owner", F.explode(F.concat("base", "extra")).alias("x"))
     every = every.select("_row", "repository", "owner", "x", F.sha2("x.value", 256).alias("value_hash"), live_looking(F.col("x.value")).alias("live"))
-    counts = ownership(every)
-    judged = every.join(counts.hint("merge"), "value_hash").withColumn("shared", F.col("n_owners") >= shared_owners)
+    counts = written(ownership(every).withColumnRenamed("n_places", "copies"), "owners")
+    total = counts.agg(F.sum("copies")).first()[0] or 0
+    judged = met(every, counts, "value_hash", total).withColumn("shared", F.col("n_owners") >= shared_owners)
     kept = F.when((F.col("x.kind") < len(BASE_KINDS)) | ~F.col("shared"), F.col("x"))
     by_row = judged.groupBy("_row").agg(
         F.array_sort(F.collect_list(kept)).alias("spans"),

@@ -50,12 +50,12 @@ def test_next_words_sum_to_one():
     """p(word | history) over all words of the vocabulary, the end and the unseen word, for random weights and histories."""
     rng = np.random.default_rng(0)
     m, size = maxent_lm, 64
-    vocabulary = rng.integers(1, 2**63, 80, dtype=np.uint64)
+    vocabulary = rng.integers(1, 2**60, 80, dtype=np.uint64) * np.uint64(8)
     vocabulary[9] = m.END
     cls = np.concatenate([np.arange(m.SINGLE), m.SINGLE + np.arange(80 - m.SINGLE) % (m.UNSEEN - m.SINGLE)])
     share = rng.random(80)
     share /= np.bincount(cls, weights=share, minlength=m.CLASSES)[cls]
-    unseen = np.uint64(12345)
+    unseen = np.uint64(123456)
     index = {int(h): i for i, h in enumerate(vocabulary)}
     votes = rng.normal(0, 1, (m.CELLS, m.GROUPS)).astype(np.float32)
     weights, bias = rng.normal(0, 1, (3 * size + 2 * m.GROUPS + 1, m.CLASSES)).astype(np.float32), rng.normal(0, 1, m.CLASSES).astype(np.float32)
@@ -69,10 +69,9 @@ def test_next_words_sum_to_one():
             k = np.array([cls[index[int(h)]] if int(h) in index else m.UNSEEN for h in hashes])
             u = np.array([share[index[int(h)]] if int(h) in index else 1.0 for h in hashes])
             which = np.unique(hashes, return_inverse=True)[1]
-            code = k.astype(np.uint32) | (hashes & np.uint64(0xFFFF)).astype(np.uint32) << np.uint32(8) | m.running_groups(hashes, cut, votes)[0].astype(np.uint32) << np.uint32(24)
-            own, _, rows = m.histories(code, cut, size)
+            code = k.astype(np.uint32) | (hashes >> np.uint64(3) & np.uint64(0xFFFF)).astype(np.uint32) << np.uint32(8) | m.running_groups(hashes, cut, votes)[0].astype(np.uint32) << np.uint32(24)
             at = len(history)
-            p = m.class_log_probabilities(weights, bias, rows)[at, own[at]] / np.log(10)
+            p = m.class_logs(code, cut, weights, bias, size)[at]
             total += 10 ** (p + m.word_terms(which, np.zeros(len(hashes), np.int64), k, u)[at])
         assert np.allclose(total, 1, atol=1e-4), total
 

@@ -10,7 +10,8 @@ signature's places, which keeps its earliest point, so two signatures agree in a
 similarity as probability. Signatures are banded; in each bucket every node
 is compared with one pivot (so a bucket of n nodes makes n pairs), each pair is verified on the full multisets, and
 buckets that still hold several components get other pivots in further rounds. What large buckets still hold apart then is
-compared exactly: all similar pairs of different components share one of their rarest shingles (prefix filter).
+compared exactly: all similar pairs of different components share one of their rarest shingles (prefix filter), and a node
+meets the likeliest nodes of another component first, more and more of them until the two are one or all have been tried.
 """
 
 from __future__ import annotations
@@ -237,7 +238,9 @@ def shared_shingles(bag: DataFrame) -> DataFrame:
 
 
 def apart(rows: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
-    """a, b of different root among the nodes of rows (node, root): at least all pairs that are similar enough.
+    """a, b and `shared` (common prefix elements) of different root among the nodes of rows (node, root): at least all pairs that are similar enough.
+
+    a lies outside the largest component that the pair's element has.
 
     Elements are ordered by the number of nodes that hold them, rarest first. The first common element of a similar pair is
     then among the first n - ceil(similarity n) + 1 of the larger bag and n - ceil(2 similarity / (1 + similarity) n) + 1
@@ -260,14 +263,14 @@ def apart(rows: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
     # what follows the first common element bounds how many a pair can share
     shared = 1 + F.least(F.col("n") - F.col("place"), F.col("m") - F.col("other_place")) >= (F.col("n") + F.col("m")) * similarity / (1 + similarity) - 1e-6
     fits = shared & (F.col("root") != F.col("other_root")) & (F.col("m") >= F.col("n") * similarity - 1e-6) & ((F.col("m") < F.col("n")) | (F.col("m") == F.col("n")) & (F.col("other") < F.col("node")))
-    met = None
-    for x, y in ((probe.where("not is_main"), index), (probe.where("is_main"), index.where("not other_main"))):
-        part = x.join(y.hint("merge"), ["token", "block"]).where(fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-        met = part if met is None else met.union(part)
-    met = written(met.distinct(), "met")
+    close = None
+    for x, y, a, b in ((probe.where("not is_main"), index, "node", "other"), (probe.where("is_main"), index.where("not other_main"), "other", "node")):
+        part = x.join(y.hint("merge"), ["token", "block"]).where(fits).select(F.col(a).alias("a"), F.col(b).alias("b"))
+        close = part if close is None else close.union(part)
+    close = written(close.groupBy("a", "b").agg(F.count("*").alias("shared")), "close")
     for x in (own, first, post):
         discard(x)
-    return met
+    return close
 
 
 def duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
@@ -365,10 +368,19 @@ def classified(docs: DataFrame, similarity: float, rounds: int) -> DataFrame:
         rows = large.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
         spent.append(rows := written(rows.join(mixed.hint("merge"), "bucket").select("node", "root").distinct(), "unresolved", shared))
-        if not rows.isEmpty():
-            spent.append(close := apart(rows, bag, similarity))
-            spent.append(pairs := written(close.join(tested.hint("merge"), ["a", "b"], "left_anti"), "pairs"))
-            spent.append(new := written(verified(estimated(pairs, nodes), bag, similarity), "links"))
+        close = None if rows.isEmpty() else apart(rows, bag, similarity)
+        most = 1  # a node is compared with so many nodes of another component, four times as many in each further round
+        while close is not None:
+            spent.append(close)
+            known = [roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in "ab"]
+            left = close.join(known[0].hint("merge"), "a", "left").join(known[1].hint("merge"), "b", "left")
+            left = left.select("a", "b", "shared", F.coalesce("a_root", "a").alias("a_root"), F.coalesce("b_root", "b").alias("b_root")).where("a_root <> b_root")
+            place = F.row_number().over(Window.partitionBy("a", "b_root").orderBy(F.desc("shared"), F.xxhash64("b")))
+            spent.append(left := written(left.select("a", "b", "shared", place.alias("place")), "left"))
+            if left.isEmpty():
+                break
+            spent.append(new := written(verified(estimated(left.where(F.col("place") <= most).select("a", "b"), nodes), bag, similarity), "links"))
+            close, most = left.where(F.col("place") > most).select("a", "b", "shared"), 4 * most
             if not new.isEmpty():
                 edges = new if edges is None else edges.union(new)
                 spent.append(roots := components(edges))

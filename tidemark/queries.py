@@ -43,7 +43,7 @@ DAILY = """p AS (SELECT 's' || (l_suppkey % 4) AS series, l_shipdate AS ts, l_ex
 bars AS (SELECT series, ts, first(price ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_quantity) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_quantity) AS close, sum(l_quantity) AS volume FROM p GROUP BY series, ts)"""
 HOURLY = """bars AS (SELECT event_type AS series, date_trunc('hour', ts) AS ts, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY event_type, date_trunc('hour', ts))"""
 ORDERS = """bars AS (SELECT o_orderpriority AS series, o_orderdate AS ts, first(o_totalprice ORDER BY o_orderkey) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low, last(o_totalprice ORDER BY o_orderkey) AS close, CAST(count(*) AS DOUBLE) AS volume FROM orders GROUP BY o_orderpriority, o_orderdate)"""
-FUNDING = """funding AS (SELECT event_type AS series, ts AS settled, (value - 50) / 100000 AS rate FROM events WHERE event_id % 20 = 0)"""
+FUNDING = """funding AS (SELECT event_type AS series, ts AS settled, (value - 50) / 100000 AS rate FROM events)"""
 
 
 # bars and tables ------------------------------------------------------------------------------------------------------
@@ -221,11 +221,13 @@ def window_ends(spark, sf_dir):
     return x.withColumns({"sizing_bars": F.round(times.bars_per_year(F.col("spacing_ms")), 6), "sharpe_bars": F.round(times.bars_per_year(F.col("spacing_ms"), times.SHARPE_DAYS), 6)})
 
 
-@query("SELECT * FROM (VALUES ('15m', CAST(900000 AS BIGINT)), ('4h', 14400000), ('1w', 604800000), ('1wk', 604800000), ('1M', -1)) t(timeframe, ms), (SELECT count(*) AS events FROM events)")
+@query("""WITH t AS (SELECT 1 + event_id % 30 AS k, CASE event_id % 4 WHEN 0 THEN 'm' WHEN 1 THEN 'h' WHEN 2 THEN 'w' ELSE 'M' END AS unit FROM events)
+SELECT k || unit AS timeframe, CASE unit WHEN 'm' THEN k * 60000 WHEN 'h' THEN k * 3600000 WHEN 'w' THEN k * 604800000 ELSE -1 END AS ms, count(*) AS events FROM t GROUP BY k, unit""")
 def timeframes(spark, sf_dir):
-    x = spark.createDataFrame([("15m",), ("4h",), ("1w",), ("1wk",), ("1M",)], "timeframe string")
-    n = b.table(spark, sf_dir, "events").agg(F.count("*").alias("events"))
-    return x.select("timeframe", F.coalesce(times.timeframe_ms_col(F.col("timeframe")), F.lit(-1)).alias("ms")).crossJoin(F.broadcast(n))
+    """Widths of timeframes written as text, one made from each event; months have none (-1)."""
+    text = F.concat((1 + F.col("event_id") % 30).cast("string"), F.element_at(F.array(*map(F.lit, "mhwM")), (F.col("event_id") % 4 + 1).cast("int")))
+    x = b.table(spark, sf_dir, "events").select(text.alias("timeframe"))
+    return x.select("timeframe", F.coalesce(times.timeframe_ms_col(F.col("timeframe")), F.lit(-1)).alias("ms")).groupBy("timeframe", "ms").agg(F.count("*").alias("events"))
 
 
 def frame(spark, sf_dir) -> DataFrame:
@@ -865,7 +867,11 @@ def state_view(spark, sf_dir):
 
 
 def _folder(spark) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -1035,11 +1041,12 @@ def ruin_comparison(spark, sf_dir):
     return both.select("series", "trend_ruined", "channel_ruined", ledger.beats(F.col("trend"), F.col("trend_ruined"), F.col("channel"), F.col("channel_ruined")).alias("trend_wins"))
 
 
-@query("SELECT * FROM (VALUES ('nothing', 'trade')) t(series, role) WHERE (SELECT count(*) FROM events) > 0")
+@query("SELECT lower(n_name) AS series, CASE n_regionkey WHEN 0 THEN 'context' ELSE 'trade' END AS role FROM nation WHERE lower(n_name) NOT IN (SELECT event_type FROM events)")
 def unknown_roles(spark, sf_dir):
+    """Roles given to instruments, those of the bars and the nations; the latter have no bars."""
     bars = b.hourly_bars(spark, sf_dir)
-    roles = bars.select("series").distinct().withColumn("role", F.lit("context")).union(spark.createDataFrame([("nothing", "trade")], "series string, role string"))
-    return align.unknown_roles(bars, roles)
+    given = b.table(spark, sf_dir, "nation").select(F.lower("n_name").alias("series"), F.when(F.col("n_regionkey") == 0, "context").otherwise("trade").alias("role"))
+    return align.unknown_roles(bars, bars.select("series").distinct().withColumn("role", F.lit("context")).union(given))
 
 
 @query(f"WITH {DAILY}, {PATTERN} SELECT series, ts, unnest(CASE WHEN up THEN ['exit_short', 'enter_long'] ELSE ['exit_long', 'enter_short'] END) AS side FROM f WHERE (up OR down) AND n > 2 AND ts > TIMESTAMP '1999-01-01'")

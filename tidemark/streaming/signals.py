@@ -147,15 +147,13 @@ def ema_level_signals(bars: DataFrame, fast: int = 48, slow: int = 192, warmup:
 
 def lifecycle_stream(frame: DataFrame, machine, warmup: int = 0) -> DataFrame:
     """series, ts, state of a stream of lifecycle inputs: the automaton's few numbers are all that is kept."""
-    from tidemark.operators.lifecycle import STATES, Walk, predicates
+    from tidemark.operators.lifecycle import START, STATES, moved, moves, predicates, row_bits
 
-    rows = predicates(frame, machine).select("series", "ts", "advancing", "failing", "unstable", "crowded", "lean", F.coalesce(F.col("direction") > 0, F.lit(False)).alias("positive"))
+    table = moves(machine)
+    rows = predicates(frame, machine).select("series", "ts", row_bits().alias("bits"), "lean", F.coalesce(F.col("direction") > 0, F.lit(False)).alias("positive"))
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, walk, n = None, Walk(), 0
-        if state.exists:
-            at, fields, n = json.loads(state.get[0])
-            walk = Walk(**fields)
+        at, stands, n = json.loads(state.get[0]) if state.exists else (None, START, 0)
         out = []
         for pdf in batches:
             for r in pdf.sort_values("ts", kind="stable").itertuples():
@@ -163,10 +161,10 @@ def lifecycle_stream(frame: DataFrame, machine, warmup: int = 0) -> DataFrame:
                 if at is not None and ms <= at:
                     continue
                 at, n = ms, n + 1
-                s = walk.step(machine, bool(r.advancing), bool(r.failing), bool(r.unstable), bool(r.crowded), int(r.lean), bool(r.positive))
+                stands = moved(table, tuple(stands), int(r.bits), int(r.lean), bool(r.positive))
                 if n > warmup:
-                    out.append((key[0], r.ts, STATES[s]))
-        state.update((json.dumps((at, walk.__dict__, n)),))
+                    out.append((key[0], r.ts, STATES[stands[0]]))
+        state.update((json.dumps((at, stands, n)),))
         if out:
             yield pd.DataFrame(out, columns=["series", "ts", "state"])
 

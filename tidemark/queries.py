@@ -1081,3 +1081,53 @@ def donchian_in_chunks(spark, sf_dir):
         return x.withColumns({n: no(F.col("_ready") & r) for n, r in zip(ledger.FLAGS, rules)}).drop("_ready")
 
     return flags(halo.in_chunks(b.daily_bars(spark, sf_dir), 90 * 86_400_000, 96, kernel))
+
+
+# SQL of further queries -----------------------------------------------------------------------------------------------------
+
+BY_TIME = "WINDOW w AS (PARTITION BY series ORDER BY ts)"
+ORACLE_SQL |= {
+    "multi_horizon": f"""WITH {DAILY}, r AS (SELECT *, row_number() OVER w AS n, close / lag(close) OVER w - 1 AS r, close / lag(close, 24) OVER w - 1 AS m1, close / lag(close, 48) OVER w - 1 AS m2, close / lag(close, 96) OVER w - 1 AS m3, close / lag(close, 192) OVER w - 1 AS m4 FROM bars {BY_TIME}),
+v AS (SELECT *, stddev_samp(r) OVER t AS sd, count(r) OVER t AS k FROM r WINDOW t AS (PARTITION BY series ORDER BY ts ROWS 95 PRECEDING)), s AS (SELECT series, ts, n > 192 AS ready, CASE WHEN k = 96 AND sd > 0 THEN (m1 / (sd * sqrt(24)) + m2 / (sd * sqrt(48)) + m3 / (sd * sqrt(96)) + m4 / (sd * sqrt(192))) / 4 END AS score FROM v)
+SELECT series, ts, coalesce(ready AND score > 0, false) AS long_entry, coalesce(ready AND score < 0, false) AS long_exit, coalesce(ready AND score < 0, false) AS short_entry, coalesce(ready AND score > 0, false) AS short_exit FROM s""",
+    "ema_cross": f"""WITH {DAILY}, {EMA}, {ema_sql(48, "f")}, {ema_sql(192, "s")}
+SELECT n.series, n.ts, n.i >= 400 AND f.v > s.v AS long_entry, n.i >= 400 AND f.v < s.v AS long_exit, n.i >= 400 AND f.v < s.v AS short_entry, n.i >= 400 AND f.v > s.v AS short_exit FROM n JOIN f ON f.series = n.series AND f.ts = n.ts JOIN s ON s.series = n.series AND s.ts = n.ts""",
+    "turnaround_v2": f"""WITH {DAILY}, {PATTERN}, {EMA}, {ema_sql(200, "t")}, {ema_sql(20, "e")}, s AS (SELECT f.series, f.ts, n > 400 AND up AND close > t.v AND close < e.v * 0.99 AS le, n > 400 AND down AND close < t.v AND close > e.v * 1.01 AS se FROM f JOIN t ON f.series = t.series AND f.ts = t.ts JOIN e ON f.series = e.series AND f.ts = e.ts)
+SELECT series, ts, le AS long_entry, se AS long_exit, se AS short_entry, le AS short_exit FROM s""",
+    "trend_rider": f"""WITH {DAILY}, {PATTERN}, t AS (SELECT series, ts, close, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr, row_number() OVER w - 1 AS i FROM bars {BY_TIME}), {ema_sql(14, "a", "t", "tr")},
+d AS (SELECT series, ts, close - lag(close) OVER w AS d, close / lag(close, 26) OVER w - 1 AS mom, avg(close) OVER (w ROWS 39 PRECEDING) AS sma FROM bars {BY_TIME}),
+g AS (SELECT *, sum(CASE WHEN d < 0 THEN 1 ELSE 0 END) OVER u = 3 AS falls, sum(CASE WHEN d > 0 THEN 1 ELSE 0 END) OVER u = 3 AS rises FROM d WINDOW u AS (PARTITION BY series ORDER BY ts ROWS 2 PRECEDING)),
+s AS (SELECT f.series, f.ts, n > 40 AS ready, up AND close > sma AND a.v / close < 0.10 AS long, falls, rises, close < sma AS below, coalesce(mom < 0, false) AS losing FROM f JOIN g ON f.series = g.series AND f.ts = g.ts JOIN a ON f.series = a.series AND f.ts = a.ts)
+SELECT series, ts, ready AND long AS long_entry, ready AND (falls OR below OR losing) AS long_exit, false AS short_entry, ready AND (long OR rises OR NOT below OR NOT losing) AS short_exit FROM s""",
+    "ew_volatility": f"""WITH {ORDERS}, q AS (SELECT series, ts, row_number() OVER w AS n, close / lag(close) OVER w - 1 AS ret FROM bars {BY_TIME}), rr AS (SELECT series, ts, ret, ret * ret AS sq, row_number() OVER w - 1 AS i FROM q WHERE ret IS NOT NULL {BY_TIME}), {ema_sql(20, "m1", "rr", "ret")}, {ema_sql(20, "m2", "rr", "sq")},
+k AS (SELECT rr.series, rr.ts, rr.i, m1.v AS a1, m2.v AS a2, pow((19 / 21.0) * (19 / 21.0), rr.i) AS d2 FROM rr JOIN m1 ON rr.series = m1.series AND rr.ts = m1.ts JOIN m2 ON rr.series = m2.series AND rr.ts = m2.ts),
+y AS (SELECT series, ts, CASE WHEN i > 0 THEN sqrt(greatest((a2 - a1 * a1) / (1 - (d2 + pow(2 / 21.0, 2) * (1 - d2) / (1 - pow(19 / 21.0, 2)))), 0)) * sqrt(365.25) END AS year FROM k)
+SELECT q.series, q.ts, round(year, 6) AS realised_vol, round(CASE WHEN n > 400 AND year > 0 THEN least(0.4 / year, 2.0) ELSE 0.0 END, 6) AS vol_weight FROM q LEFT JOIN y ON q.series = y.series AND q.ts = y.ts""",
+    "risk_statistics": f"""WITH {ORDERS}, x AS (SELECT series, ts, close, row_number() OVER w AS n, close / lag(close, 20) OVER w - 1 AS r FROM bars {BY_TIME}),
+sig AS (SELECT series, ts, close, n, coalesce(n > 20 AND r > 0, false) AS long_entry, coalesce(n > 20 AND r < 0, false) AS long_exit, coalesce(n > 20 AND r < 0, false) AS short_entry, coalesce(n > 20 AND r > 0, false) AS short_exit FROM x), {RESOLVED}, {POSITION}, {RETURNS},
+z AS (SELECT *, coalesce(equity / nullif(coalesce(lag(equity) OVER w, 1), 0) - 1, 0) AS r, last_value(CASE WHEN drawdown >= -1e-12 THEN n END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS top FROM eq {BY_TIME}),
+a AS (SELECT series, count(*) AS bars, arg_max(equity, n) AS end_value, min(drawdown) AS max_drawdown, max(n - coalesce(top, 0)) AS drawdown_bars, avg(r) AS mean, stddev_samp(r) AS sd, sqrt(avg(pow(least(r, 0), 2))) AS down, sum(greatest(r, 0)) AS gain, -sum(least(r, 0)) AS loss, min(equity) AS least_equity, CAST(count_if(equity <= 0) AS BIGINT) AS ruined_bars FROM z GROUP BY series),
+y AS (SELECT *, CASE WHEN end_value > 0 THEN pow(end_value, 365.0 / bars) - 1 END AS annual_return FROM a)
+SELECT series, bars, round(end_value - 1, 6) AS total_return, round(end_value, 6) AS end_value, round(max_drawdown, 6) AS max_drawdown, drawdown_bars, round(annual_return, 6) AS annual_return, round(sd * sqrt(365.0), 6) AS annual_volatility, round(coalesce(CASE WHEN sd > 0 THEN mean * sqrt(365.0) / sd END, 0), 6) AS sharpe,
+ round(CASE WHEN down > 0 THEN mean * sqrt(365.0) / down END, 6) AS sortino, round(CASE WHEN max_drawdown < 0 THEN annual_return / -max_drawdown END, 6) AS calmar, round(CASE WHEN loss > 0 THEN gain / loss END, 6) AS omega, round(least_equity, 6) AS least_equity, ruined_bars FROM y""",
+    "crowding": f"""WITH {HOURLY}, {FUNDING}, {CONTAINED}, b AS (SELECT b.series, b.ts, coalesce(sum(i.rate), 0) AS rate FROM bars b LEFT JOIN inside i ON b.series = i.series AND b.ts = i.ts GROUP BY b.series, b.ts),
+s AS (SELECT series, ts, row_number() OVER w AS n, CASE WHEN count(rate) OVER u = 6 THEN sum(rate) OVER u END AS s FROM b WINDOW w AS (PARTITION BY series ORDER BY ts), u AS (PARTITION BY series ORDER BY ts ROWS 5 PRECEDING)),
+z AS (SELECT series, ts, n, s, avg(s) OVER u AS m, stddev_samp(s) OVER u AS sd, count(s) OVER u AS k FROM s WINDOW u AS (PARTITION BY series ORDER BY ts ROWS 59 PRECEDING))
+SELECT series, ts, round(CASE WHEN n > 64 AND k = 60 THEN (tanh(CASE WHEN sd = 0 THEN 0 ELSE (s - m) / sd END) + 1) / 2 END, 6) AS crowding FROM z""",
+    "entry_size_census": f"""WITH {DAILY}, {PATTERN}, t AS (SELECT series, ts, close, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr, row_number() OVER w - 1 AS i FROM bars {BY_TIME}), {ema_sql(14, "a", "t", "tr")},
+s AS (SELECT f.series, CASE WHEN n > 100 AND (up OR down) THEN CASE WHEN a.v > 0 THEN least(greatest(0.06 / (a.v / close), 0.3), 1.0) ELSE 0.3 END END AS s FROM f JOIN a ON f.series = a.series AND f.ts = a.ts)
+SELECT series, count(s) AS entries, CAST(count_if(s <> 1) AS BIGINT) AS not_one, round(min(s), 6) AS least, round(quantile_cont(s, 0.5), 6) AS median, round(max(s), 6) AS most, count(DISTINCT round(s, 9)) AS sizes FROM s GROUP BY series""",
+    "start_invariance": f"WITH {DAILY} SELECT series, count(*) AS bars, CAST(0 AS BIGINT) AS differing FROM bars GROUP BY series",
+    "label_anchor_audit": f"WITH {DAILY} SELECT series, count(*) AS labels, CAST(0 AS BIGINT) AS moved FROM bars WHERE ts >= TIMESTAMP '1998-01-01' GROUP BY series",
+    "stream_equals_batch": f"WITH {DAILY}, {PATTERN} SELECT series, CAST(2 * count(*) AS BIGINT) AS signals, CAST(0 AS BIGINT) AS differing FROM f WHERE (up OR down) AND n > 2 GROUP BY series",
+    "reason_rows": f"WITH {DAILY} SELECT series, count(*) AS rows FROM bars GROUP BY series",
+}
+REGULAR = """days AS (SELECT DISTINCT series, date_trunc('day', ts) AS d FROM bars), funding AS (SELECT series, CAST(d AS TIMESTAMP) + h * INTERVAL 1 HOUR AS settled FROM days, (VALUES (0), (8), (16)) t(h) WHERE day(d) NOT IN (9, 10, 20))"""
+GAPS = """e AS (SELECT series, min(ts) AS first_ts, max(ts) + CAST(quantile_cont(gap, 0.5) AS BIGINT) * INTERVAL 1 MILLISECOND AS end_ts FROM (SELECT series, ts, epoch_ms(lead(ts) OVER (PARTITION BY series ORDER BY ts)) - epoch_ms(ts) AS gap FROM bars) GROUP BY series),
+s AS (SELECT f.series, settled, lead(settled) OVER (PARTITION BY f.series ORDER BY settled) AS next FROM funding f JOIN e USING (series) WHERE settled >= first_ts AND settled < end_ts), g AS (SELECT *, epoch_us(next) - epoch_us(settled) AS gap FROM s),
+c AS (SELECT series, quantile_cont(gap, 0.5) AS cadence, min(settled) AS first, max(settled) AS last, count(*) AS n FROM g GROUP BY series), p AS (SELECT g.series, count_if(abs(gap - cadence) <= cadence * 0.1) AS repeats FROM g JOIN c USING (series) GROUP BY g.series),
+k AS (SELECT e.series, first_ts, end_ts, cadence, first, last, coalesce(n >= 2 AND repeats >= 2, false) AS sure FROM e LEFT JOIN c USING (series) LEFT JOIN p USING (series)),
+gaps AS (SELECT series, first_ts AS gap_start, end_ts AS gap_end FROM k WHERE NOT sure UNION ALL SELECT series, first_ts, first FROM k WHERE sure AND epoch_us(first) - epoch_us(first_ts) >= cadence UNION ALL SELECT g.series, settled, next FROM g JOIN k USING (series) WHERE sure AND gap > cadence * 1.5 UNION ALL SELECT series, last, end_ts FROM k WHERE sure AND epoch_us(end_ts) - epoch_us(last) > cadence)"""
+ORACLE_SQL["coverage_gaps"] = f"WITH {HOURLY}, {REGULAR}, {GAPS} SELECT series, gap_start, gap_end FROM gaps"
+ORACLE_SQL["funding_status"] = f"""WITH {HOURLY}, {REGULAR}, {GAPS}, h AS (SELECT series, count(*) AS n, min(gap_start) AS first_gap FROM gaps GROUP BY series)
+SELECT k.series, coalesce(h.n, 0) AS gaps, CASE WHEN h.n > 0 THEN 'refused' ELSE 'attached' END AS status, CASE WHEN h.n > 0 THEN 'gap from ' || strftime(first_gap, '%Y-%m-%d %H:%M') ELSE '' END AS reason FROM k LEFT JOIN h USING (series)"""

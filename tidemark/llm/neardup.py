@@ -189,38 +189,29 @@ def bags(docs: DataFrame) -> DataFrame:
     return docs.select("text", "node").mapInArrow(make, "node long, bag binary")
 
 
-def verified(pairs: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
-    """a, b of those pairs whose multisets' Jaccard similarity is high enough."""
-    a = pairs.join(bag.select(F.col("node").alias("a"), F.col("bag").alias("x")).hint("merge"), "a")
-    both = a.join(bag.select(F.col("node").alias("b"), F.col("bag").alias("y")).hint("merge"), "b").select("a", "b", "x", "y")
+def verified(pairs: DataFrame, compared: DataFrame, similarity: float) -> DataFrame:
+    """a, b of those pairs whose multisets' Jaccard similarity is high enough; compared has the node, sig and bag of each.
+
+    Pairs whose signatures agree too seldom are left out before their multisets are read.
+    """
+    a = pairs.join(compared.select(F.col("node").alias("a"), F.col("sig").alias("p"), F.col("bag").alias("x")).hint("merge"), "a")
+    both = a.join(compared.select(F.col("node").alias("b"), F.col("sig").alias("q"), F.col("bag").alias("y")).hint("merge"), "b")
 
     def check(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+            p, q = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint32).reshape(-1, PLACES) for i in (2, 3))
+            keep = (p == q).mean(1) >= LEAST_ESTIMATE
+            for i in np.flatnonzero(keep):
+                x, y = (np.frombuffer(batch.column(k)[int(i)].as_buffer(), dtype=np.uint64) for k in (4, 5))
                 small, large = (x, y) if len(x) < len(y) else (y, x)
                 shared = 0
                 if len(small) >= similarity * len(large):
                     at = np.searchsorted(large, small)
                     shared = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                keep.append(shared >= similarity * (len(x) + len(y) - shared) and shared > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(check, "a long, b long")
-
-
-def estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs whose signatures agree often enough to be verified."""
-    a = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("x")).hint("merge"), "a")
-    both = a.join(nodes.select(F.col("node").alias("b"), F.col("sig").alias("y")).hint("merge"), "b").select("a", "b", "x", "y")
-
-    def check(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint32).reshape(-1, PLACES) for i in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array((x == y).mean(1) >= LEAST_ESTIMATE))
+                keep[i] = shared >= similarity * (len(x) + len(y) - shared) and shared > 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
-    return both.mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "p", "q", "x", "y").mapInArrow(check, "a long, b long")
 
 
 def shared_shingles(bag: DataFrame) -> DataFrame:
@@ -328,6 +319,7 @@ def classified(docs: DataFrame, similarity: float, rounds: int) -> DataFrame:
     spent.append(bag := written(bags(found.select("text", F.col("_node").alias("node"))), "bags"))
     if bag.count() > involved.count():  # rows that are repeated whole
         spent.append(bag := written(bag.groupBy("node").agg(F.max("bag").alias("bag")), "bags"))
+    spent.append(bag := written(bag.join(nodes.select("node", "sig").hint("merge"), "node"), "compared"))
     large = members.where(F.col("size") > SMALL)
     edges, tested, roots = None, None, None
     for r in range(rounds):
@@ -358,7 +350,7 @@ def classified(docs: DataFrame, similarity: float, rounds: int) -> DataFrame:
         if pairs.isEmpty():
             break
         tested = pairs if tested is None else tested.union(pairs)
-        spent.append(new := written(verified(estimated(pairs, nodes), bag, similarity), "links", shared))
+        spent.append(new := written(verified(pairs, bag, similarity), "links", shared))
         if not new.isEmpty():
             edges = new if edges is None else edges.union(new)
             spent.append(roots := components(edges))
@@ -379,7 +371,7 @@ def classified(docs: DataFrame, similarity: float, rounds: int) -> DataFrame:
             spent.append(left := written(left.select("a", "b", "shared", place.alias("place")), "left"))
             if left.isEmpty():
                 break
-            spent.append(new := written(verified(estimated(left.where(F.col("place") <= most).select("a", "b"), nodes), bag, similarity), "links"))
+            spent.append(new := written(verified(left.where(F.col("place") <= most).select("a", "b"), bag, similarity), "links"))
             close, most = left.where(F.col("place") > most).select("a", "b", "shared"), 4 * most
             if not new.isEmpty():
                 edges = new if edges is None else edges.union(new)

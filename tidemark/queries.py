@@ -927,15 +927,15 @@ def stream_equals_batch(spark, sf_dir):
     return streamed.groupBy("series").agg(F.count("*").alias("signals")).join(d, "series", "left").na.fill(0)
 
 
-@query()
+@query(f"WITH {HOURLY} SELECT * FROM bars WHERE ts + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events)")
 def streamed_event_bars(spark, sf_dir):
     """Tumbling bars of the event stream whose window the watermark has passed."""
-    x = b.table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    x = b.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
     s, at = _streamed(spark, x, "events", 1)
     return stream.run_to_end(stream.event_bars(s), f"{at}/bars", f"{at}/state", ["series", "ts"])
 
 
-@query()
+@query(f"WITH {HOURLY} SELECT ts + INTERVAL 3599999 MILLISECOND AS ts_close, count(*) AS present, string_agg(series, ',' ORDER BY series) AS series FROM bars GROUP BY ts")
 def streamed_snapshots(spark, sf_dir):
     """Snapshots of all series at each close, once a later bar has come."""
     s, at = _streamed(spark, b.hourly_bars(spark, sf_dir), "bars", 1)

@@ -22,9 +22,10 @@ BAR_COLUMNS = ("series", "ts", "open", "high", "low", "close", "volume")
 
 
 def event_bars(events: DataFrame, width: str = "1 hour", delay: str = "0 seconds") -> DataFrame:
-    """Tumbling bars of a stream of events (ts, event_type, value), emitted when the watermark has passed them."""
+    """Tumbling bars of a stream of events (event_id, ts, event_type, value), emitted when the watermark has passed them; event_id orders those of one instant."""
+    at = F.struct("ts", "event_id")
     x = events.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"), F.col("event_type").alias("series"))
-    x = x.agg(F.min_by("value", "ts").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "ts").alias("close"), F.count("*").cast("double").alias("volume"))
+    x = x.agg(F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", at).alias("close"), F.count("*").cast("double").alias("volume"))
     return x.select("series", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
@@ -45,11 +46,11 @@ def without_repeats(bars: DataFrame, delay: str = "1 day") -> DataFrame:
     return x.dropDuplicatesWithinWatermark(["series", "ts", "_hash"]).drop("_hash")
 
 
-def withheld_until_funded(bars: DataFrame, funding: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Bars joined to the settlements inside them (stream to stream); a bar waits until the settlements' watermark is past it."""
+def withheld_until_funded(bars: DataFrame, funding: DataFrame, width: str = "1 hour", delay: str = "1 day") -> DataFrame:
+    """Bars of a width joined to the settlements inside them (stream to stream); a bar waits until the settlements' watermark is past it."""
     b = bars.withWatermark("ts", delay).alias("b")
     f = funding.select(F.col("series").alias("f_series"), "settled", "rate").withWatermark("settled", delay).alias("f")
-    on = F.expr("series = f_series AND settled >= ts AND settled < ts + INTERVAL 1 HOUR")
+    on = F.expr(f"series = f_series AND settled >= ts AND settled < ts + INTERVAL {width}")
     return b.join(f, on, "left_outer").select("series", "ts", "close", "settled", F.coalesce("rate", F.lit(0.0)).alias("rate"))
 
 

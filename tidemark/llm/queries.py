@@ -1,5 +1,6 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
+from .cost_packing import query_cost_packing
 from .html_text import query_html
 from .maxent_lm import query_language_model
 from .mixing import query_mixing
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_fuzzy_lexicon_toxicity": query_toxicity,
     "op9_pivot_top_k": query_top_k,
     "op10_layout_html": query_html,
+    "op13_cost_packing": query_cost_packing,
 }
 
 ORACLE_SQL = {"op9_pivot_top_k": SQL_TOP_K}

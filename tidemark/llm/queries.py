@@ -11,6 +11,7 @@ from .quality import query_quality
 from .secrets import query_secrets
 from .topk import SQL_TOP_K, query_top_k
 from .toxicity import query_toxicity
+from .tree_codes import SQL_TREE_CODES, query_tree_codes
 
 QUERIES = {
     "op1_temperature_mixing": query_mixing,
@@ -23,7 +24,8 @@ QUERIES = {
     "op8_fuzzy_lexicon_toxicity": query_toxicity,
     "op9_pivot_top_k": query_top_k,
     "op10_layout_html": query_html,
+    "op11_dual_tree_lloyd": query_tree_codes,
     "op13_cost_packing": query_cost_packing,
 }
 
-ORACLE_SQL = {"op9_pivot_top_k": SQL_TOP_K}
+ORACLE_SQL = {"op9_pivot_top_k": SQL_TOP_K, "op11_dual_tree_lloyd": SQL_TREE_CODES}

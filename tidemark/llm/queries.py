@@ -10,6 +10,7 @@ from .pii import query_pii
 from .quality import query_quality
 from .secrets import query_secrets
 from .topk import SQL_TOP_K, query_top_k
+from .spelling import SQL_SPELLING, query_spelling
 from .toxicity import query_toxicity
 from .tree_codes import SQL_TREE_CODES, query_tree_codes
 
@@ -25,7 +26,8 @@ QUERIES = {
     "op9_pivot_top_k": query_top_k,
     "op10_layout_html": query_html,
     "op11_dual_tree_lloyd": query_tree_codes,
+    "op12_spelling_tiles": query_spelling,
     "op13_cost_packing": query_cost_packing,
 }
 
-ORACLE_SQL = {"op9_pivot_top_k": SQL_TOP_K, "op11_dual_tree_lloyd": SQL_TREE_CODES}
+ORACLE_SQL = {"op9_pivot_top_k": SQL_TOP_K, "op11_dual_tree_lloyd": SQL_TREE_CODES, "op12_spelling_tiles": SQL_SPELLING}

@@ -7,11 +7,15 @@ affine scan: a weighted running sum inside short blocks that starts from the mea
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right, insort
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def series_window() -> WindowSpec:
@@ -67,6 +71,53 @@ def rolling_percentile(x: Column, n: int) -> Column:
     return _full(x, n, (below + (same + 1) / 2) / n)
 
 
+def sorted_ranks(x: np.ndarray, n: int) -> np.ndarray:
+    """rolling_percentile() of an array whose missing values are NaN: the window is a sorted list, a value comes in and one goes out each step."""
+    held, missing, out = [], 0, np.full(len(x), np.nan)
+    values = x.tolist()
+    for i, v in enumerate(values):
+        if v == v:
+            insort(held, v)
+        else:
+            missing += 1
+        if i >= n:
+            old = values[i - n]
+            if old == old:
+                del held[bisect_left(held, old)]
+            else:
+                missing -= 1
+        if i >= n - 1 and not missing:
+            below = bisect_left(held, v)
+            out[i] = (below + (bisect_right(held, v, below) - below + 1) / 2) / n
+    return out
+
+
+def rank_columns(bars: DataFrame, wanted: dict[str, tuple[str, int]], chunk_ms: int | None = None) -> DataFrame:
+    """Add rolling percentiles {name: (column, n)}: the share of the last n values below the current one, ties at their middle rank.
+
+    A task holds one window of a column, not an array for each row. With chunk_ms a series is cut into chunks of so much time,
+    each with the rows before it that the longest window reaches.
+    """
+    from tidemark.functions.halo import in_chunks
+
+    schema = T.StructType([*bars.schema.fields, *(T.StructField(name, T.DoubleType()) for name in wanted)])
+
+    def kernel(df: DataFrame) -> DataFrame:
+        out = T.StructType([*df.schema.fields, *schema.fields[len(bars.columns) :]])
+
+        def rank(table: pa.Table) -> pa.Table:
+            table = table.sort_by("ts")
+            for name, (column, n) in wanted.items():
+                table = table.append_column(name, pa.array(sorted_ranks(table.column(column).cast(pa.float64()).to_numpy(zero_copy_only=False), n), from_pandas=True))
+            return table
+
+        return df.groupBy("series").applyInArrow(rank, out)
+
+    if chunk_ms is None:
+        return kernel(bars)
+    return in_chunks(bars, chunk_ms, max(n for _, n in wanted.values()) - 1, kernel)
+
+
 def rolling_zscore(x: Column, n: int) -> Column:
     """0 where the window has no spread."""
     std = F.stddev_samp(x).over(trailing(n))

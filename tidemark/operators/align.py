@@ -9,19 +9,28 @@ from pyspark.sql import functions as F
 from tidemark.functions.times import window_ends
 
 
-def contained(bars: DataFrame, funding: DataFrame) -> DataFrame:
+#: Time range of a series that one task of the containment join gets.
+RANGE_MS = 7 * 86_400_000
+
+
+def contained(bars: DataFrame, funding: DataFrame, range_ms: int = RANGE_MS) -> DataFrame:
     """series, ts (the bar), settled and rate of each settlement that lies inside the bars' window.
 
-    A settlement belongs to the last bar that opens at or before it. Bars and settlements are put in one order and the
-    last bar is carried forward, so the join costs one shuffle by series and no comparison of pairs.
+    A settlement belongs to the last bar that opens at or before it. Series are cut into ranges of time: within a range bars
+    and settlements are put in one order and the last bar is carried forward; what the ranges before leave behind, one row a
+    range, is carried along the series by itself. So tasks grow with the rows, not with the number of series.
     """
     both = bars.select("series", F.col("ts").alias("at"), F.lit(0).alias("kind"), F.col("ts").alias("bar"), F.lit(None).cast("double").alias("rate")).unionByName(
-        funding.where("rate is not null").select("series", F.col("settled").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("timestamp").alias("bar"), "rate")
+        funding.where("rate is not null").select("series", F.col("settled").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("timestamp").alias("bar"), F.col("rate").cast("double").alias("rate"))
     )
-    order = W.partitionBy("series").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0)
-    found = both.withColumn("bar", F.last("bar", ignorenulls=True).over(order)).where("kind = 1 and bar is not null")
-    ends = window_ends(bars).select("series", "end_ts")
-    return found.join(ends, "series").where(F.col("end_ts").isNull() | (F.col("at") < F.col("end_ts"))).select("series", F.col("bar").alias("ts"), F.col("at").alias("settled"), "rate")
+    both = both.withColumn("range", F.floor(F.unix_millis("at") / range_ms))
+    earlier = W.partitionBy("series").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = both.groupBy("series", "range").agg(F.max("bar").alias("newest")).withColumn("carried", F.max("newest").over(earlier))
+    ranges = ranges.join(window_ends(bars).select("series", "end_ts").hint("merge"), "series").select("series", "range", "carried", "end_ts")
+    order = W.partitionBy("series", "range").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0)
+    found = both.withColumn("bar", F.last("bar", ignorenulls=True).over(order)).where("kind = 1").join(ranges.hint("merge"), ["series", "range"])
+    found = found.withColumn("bar", F.coalesce("bar", "carried")).where("bar is not null")
+    return found.where(F.col("end_ts").isNull() | (F.col("at") < F.col("end_ts"))).select("series", F.col("bar").alias("ts"), F.col("at").alias("settled"), "rate")
 
 
 def with_funding(bars: DataFrame, funding: DataFrame) -> DataFrame:

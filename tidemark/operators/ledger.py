@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import windows as k
+from tidemark.functions.scan import by_chunks
 
 FLAGS = ("long_entry", "long_exit", "short_entry", "short_exit")
 EXIT_MODES = ("continuation_failure", "opposite_signal_only", "trend_failure", "trend_structure", "setup_invalidation_stop")
@@ -159,23 +160,86 @@ def cash_limited(trade: DataFrame, cash: float, fee_rate: float, keys: tuple[str
     return trade.groupBy(*keys).applyInPandas(fold, T.StructType([*trade.schema.fields, T.StructField("balance", T.DoubleType())]))
 
 
-def banded(targets: DataFrame, threshold: float) -> DataFrame:
-    """submitted: the target where it moved by the threshold or more from the last submitted one, else NULL. No threshold submits each."""
+def next_beyond(x: np.ndarray, threshold: float) -> np.ndarray:
+    """For each place the first later one whose value is the threshold or more away; len(x) where there is none.
+
+    A table of minima and maxima of stretches of 1, 2, 4, ... places: a place moves on by the longest stretches that stay
+    inside its band, the longest first.
+    """
+    n, low, high = len(x), [x], [x]
+    while 1 << len(low) < n:
+        half = 1 << (len(low) - 1)
+        for table, f in ((low, np.minimum), (high, np.maximum)):
+            t = table[-1]
+            table.append(np.concatenate([f(t[: n - half], t[half:]), np.full(half, np.nan)]))
+    at = np.arange(1, n + 1)
+    for j in reversed(range(len(low))):
+        fits = at + (1 << j) <= n
+        k = np.where(fits, at, 0)
+        inside = fits & (np.maximum(high[j][k] - x, x - low[j][k]) < threshold)
+        at = np.where(inside, at + (1 << j), at)
+    return at
+
+
+def band_chain(x: np.ndarray, threshold: float, held: float) -> list[int]:
+    """Places of the values that are submitted, each the first that is the threshold or more away from the one before; `held` comes first."""
+    after = next_beyond(np.concatenate([[held], x]), threshold)
+    out, at = [], int(after[0])
+    while at <= len(x):
+        out.append(at - 1)
+        at = int(after[at])
+    return out
+
+
+def band_summary(x: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+    """What a stretch makes of any held value: its records up and down, and the value held in the end after each of them.
+
+    The first value out of the band of a held one is a record of the stretch, and all that follows depends on that place alone.
+    """
+    after = next_beyond(x, threshold)
+    last = np.arange(len(x))
+    while (go := after[last] < len(x)).any():  # doubling: everyone jumps on to where its own next one has come to
+        last = np.where(go, last[np.minimum(after[last], len(x) - 1)], last)
+    up = np.flatnonzero(np.append(True, x[1:] > np.maximum.accumulate(x)[:-1]))
+    down = np.flatnonzero(np.append(True, x[1:] < np.minimum.accumulate(x)[:-1]))
+    return up, x[up], x[last[up]], down, x[down], x[last[down]]
+
+
+def band_advance(held: float, summary: tuple[np.ndarray, ...], threshold: float) -> float:
+    up, high, up_end, down, low, down_end = summary
+    i = int(np.argmax(high - held >= threshold)) if (high - held >= threshold).any() else -1
+    j = int(np.argmax(held - low >= threshold)) if (held - low >= threshold).any() else -1
+    if i < 0 and j < 0:
+        return held
+    return float(up_end[i] if j < 0 or 0 <= i and up[i] <= down[j] else down_end[j])
+
+
+def banded(targets: DataFrame, threshold: float, chunk_ms: int | None = None) -> DataFrame:
+    """submitted: the target where it moved by the threshold or more from the last submitted one, else NULL. No threshold submits each.
+
+    The book starts flat, so the first is measured from 0. A null target is never submitted. With chunk_ms a series is spread over chunks of so much time.
+    """
+    if threshold < 0:
+        raise ValueError(f"the threshold must not be negative, got {threshold}")
     if threshold == 0:
         return targets.withColumn("submitted", F.col("target"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable")
-        out, last = [], None
-        for x in pdf["target"]:
-            if last is None or abs(x - last) >= threshold:
-                out.append(x)
-                last = x
-            else:
-                out.append(None)
-        return pdf.assign(submitted=pd.Series(out, index=pdf.index, dtype="float64"))
-
-    return targets.groupBy("series").applyInPandas(fold, T.StructType([*targets.schema.fields, T.StructField("submitted", T.DoubleType())]))
+    def values(pdf: pd.DataFrame) -> np.ndarray:
+        return pdf["target"].dropna().to_numpy(float)
+
+    def replay(pdf: pd.DataFrame, held: float) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts", kind="stable").reset_index(drop=True)
+        known = np.flatnonzero(pdf["target"].notna())
+        out = np.full(len(pdf), np.nan)
+        at = known[band_chain(values(pdf), threshold, held)]
+        out[at] = pdf["target"].to_numpy(float)[at]
+        return pdf.assign(submitted=pd.Series(out).astype("Float64").where(~np.isnan(out), None))
+
+    schema = T.StructType([*targets.schema.fields, T.StructField("submitted", T.DoubleType())])
+    if chunk_ms is None:
+        return targets.groupBy("series").applyInPandas(lambda pdf: replay(pdf, 0.0), schema)
+    summary = lambda pdf: band_summary(values(pdf), threshold) if len(values(pdf)) else None
+    return by_chunks(targets, ("series",), chunk_ms, 0.0, summary, lambda held, s: held if s is None else band_advance(held, s, threshold), replay, schema)
 
 
 def target_orders(targets: DataFrame, cash: float, pct: float) -> DataFrame:

@@ -7,10 +7,10 @@ and so on down to units. Parts beyond the weight are dropped, and so are parts w
 fills all places, with all that is below them: however large a weight, only the parts with early points are split. The same
 shingle is split alike in all texts, so what two weights share is the same points. Every point falls to one of the
 signature's places, which keeps its earliest point, so two signatures agree in a place with the weighted Jaccard
-similarity as probability. Signatures are banded; in each bucket every node
-is compared with one pivot (so a bucket of n nodes makes n pairs), each pair is verified on the full multisets, and
-buckets that still hold several components get other pivots in further rounds. What large buckets still hold apart then is
-compared exactly: all similar pairs of different components share one of their rarest shingles (prefix filter), and a node
+similarity as probability. Signatures are banded; in each bucket every node is compared with its neighbours in a random order
+(so a bucket of n nodes makes n pairs in the first round), each pair is verified on the full multisets, and
+buckets that still hold several components are put in other orders, with twice as many neighbours, in further rounds, in which
+only nodes of different components meet. What large buckets still hold apart then is compared exactly: all similar pairs of different components share one of their rarest shingles (prefix filter), and a node
 meets the likeliest nodes of another component first, more and more of them until the two are one or all have been tried.
 """
 
@@ -29,9 +29,9 @@ SIMILARITY = 0.8
 PLACES, BAND = 64, 4
 #: Pairs whose signatures agree in a smaller share of places than this are not verified (0.8 minus over 5 deviations).
 LEAST_ESTIMATE = 0.5
-#: Rounds of pivots; after the first few, buckets up to SMALL nodes compare all nodes of different components. Larger ones
-#: that pivots leave unresolved are finished by apart().
-ROUNDS, SMALL = 6, 32
+#: Rounds of neighbours; after the first, buckets up to SMALL nodes compare all nodes of different components. Larger ones
+#: that the rounds leave unresolved are finished by apart(). Nodes of a bucket that are put in one order, about.
+ROUNDS, SMALL, SPREAD = 6, 32, 1024
 #: So many nodes are broadcast at most (16 MB) when their texts are read again.
 BROADCAST_NODES = 1_000_000
 
@@ -214,6 +214,19 @@ def verified(pairs: DataFrame, compared: DataFrame, similarity: float) -> DataFr
     return both.select("a", "b", "p", "q", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def neighbours(rows: DataFrame, r: int) -> DataFrame:
+    """a, b of each node and the 2**r nodes before it in a random order of its bucket, if they belong to other components.
+
+    rows has bucket, node, size (of the bucket) and root. Each round r has an order of its own, and buckets of many nodes
+    are dealt at random to parts of about SPREAD, so no task gets a whole one and no node is in more than 2**(r + 1) pairs of a bucket.
+    """
+    part = F.pmod(F.xxhash64("node", F.lit(r)), F.ceil(F.col("size") / SPREAD)).cast("int")
+    order = Window.partitionBy("bucket", "_part").orderBy(F.xxhash64(F.lit(r), "node"), "node").rowsBetween(-(1 << r), -1)
+    x = rows.withColumn("_part", part).withColumn("_before", F.collect_list(F.struct("node", "root")).over(order))
+    x = x.select("node", F.explode(F.filter("_before", lambda m: m["root"] != F.col("root"))["node"]).alias("mate"))
+    return x.select(F.least("node", "mate").alias("a"), F.greatest("node", "mate").alias("b"))
+
+
 def shared_shingles(bag: DataFrame) -> DataFrame:
     """token, node for each element of each node's bag."""
 
@@ -239,8 +252,8 @@ def apart(rows: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
     """
     own = written(bag.join(rows.hint("merge"), "node").select("node", "bag", "root", (F.length("bag") / 8).cast("long").alias("n")), "unresolved")
     each = shared_shingles(own)
-    held = each.groupBy("token").agg(F.count("*").alias("held")).where("held > 1")
-    ranked = each.join(held.hint("merge"), "token").join(own.select("node", "root", "n").hint("merge"), "node")
+    held = written(each.groupBy("token").agg(F.count("*").alias("copies")).where("copies > 1"), "held")
+    ranked = met(each, held, "token", own.agg(F.sum("n")).first()[0] or 0).withColumnRenamed("copies", "held").join(own.select("node", "root", "n").hint("merge"), "node")
     by = Window.partitionBy("node")
     ranked = ranked.withColumn("place", F.col("n") - F.count("*").over(by) + F.row_number().over(by.orderBy("held", "token")))
     first = written(ranked.where(F.col("place") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-6) + 1).select("token", "node", "root", "n", "place"), "prefixes")
@@ -259,7 +272,7 @@ def apart(rows: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
         part = x.join(y.hint("merge"), ["token", "block"]).where(fits).select(F.col(a).alias("a"), F.col(b).alias("b"))
         close = part if close is None else close.union(part)
     close = written(close.groupBy("a", "b").agg(F.count("*").alias("shared")), "close")
-    for x in (own, first, post):
+    for x in (own, held, first, post):
         discard(x)
     return close
 
@@ -332,13 +345,7 @@ def classified(docs: DataFrame, similarity: float, rounds: int) -> DataFrame:
                 rows = rows.where(F.col("size") > SMALL)
             spent.append(rows := written(rows.join(mixed.hint("merge"), "bucket"), "mixed", shared))
             members = rows.select("bucket", "node", "size")
-        order = F.min_by("node", F.xxhash64("node", F.lit(r))) if r else F.min("node")  # keys are hashes already
-        pivots = rows.groupBy("bucket").agg(order.alias("pivot"))
-        pairs = rows.join(pivots.hint("merge"), "bucket").where("node <> pivot")
-        if r:  # only what is not yet known to belong together
-            own = roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root"))
-            pairs = pairs.join(own.hint("merge"), "pivot", "left").where(F.col("root") != F.coalesce("pivot_root", "pivot"))
-        pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+        pairs = neighbours(rows, r)
         if r == 1:  # few are left: in small buckets all nodes of different components meet
             other = rows.where(F.col("size") <= SMALL)
             mates = other.select("bucket", F.col("node").alias("b"), F.col("root").alias("other"))
@@ -356,7 +363,7 @@ def classified(docs: DataFrame, similarity: float, rounds: int) -> DataFrame:
             spent.append(roots := components(edges))
         elif roots is None:
             roots = spark.createDataFrame([], "node long, root long")
-    if roots is not None:  # large buckets that pivots did not resolve
+    if roots is not None:  # large buckets that the rounds did not resolve
         rows = large.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = rows.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
         spent.append(rows := written(rows.join(mixed.hint("merge"), "bucket").select("node", "root").distinct(), "unresolved", shared))

@@ -22,6 +22,14 @@ def series_window() -> WindowSpec:
     return W.partitionBy("series").orderBy("ts")
 
 
+def by_series(df: DataFrame) -> DataFrame:
+    """Rows dealt by series to as many tasks as the session shuffles to.
+
+    Windows over series cost far more than their bytes tell, so series aren't put together by size, which adaptive execution would do.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "series")
+
+
 def trailing(n: int) -> WindowSpec:
     return series_window().rowsBetween(1 - n, 0)
 
@@ -111,7 +119,7 @@ def rank_columns(bars: DataFrame, wanted: dict[str, tuple[str, int]], chunk_ms:
                 table = table.append_column(name, pa.array(sorted_ranks(table.column(column).cast(pa.float64()).to_numpy(zero_copy_only=False), n), from_pandas=True))
             return table
 
-        return df.groupBy("series").applyInArrow(rank, out)
+        return by_series(df.groupBy("series").applyInArrow(rank, out))
 
     if chunk_ms is None:
         return kernel(bars)

@@ -22,9 +22,12 @@ def with_inputs(bars: DataFrame) -> DataFrame:
     return df.withColumn("log_return", F.col("ln_close") - k.lag("ln_close"))
 
 
-def feature_frame(bars: DataFrame, fast: int = FAST, slow: int = SLOW, atr: int = ATR, span: int = SPAN, rank: int = RANK, vol: int = VOL) -> DataFrame:
-    """bars with the price and volume features, NULL inside each one's warmup. One shuffle by series serves all windows."""
-    df = k.ema_columns(with_inputs(bars), {"ema_fast": ("close", fast), "ema_slow": ("close", slow)})
+def feature_frame(bars: DataFrame, fast: int = FAST, slow: int = SLOW, atr: int = ATR, span: int = SPAN, rank: int = RANK, vol: int = VOL, chunk_ms: int | None = None) -> DataFrame:
+    """bars with the price and volume features, NULL inside each one's warmup. One shuffle by series serves all windows.
+
+    chunk_ms: the ranks' windows run over chunks of a series of so much time.
+    """
+    df = k.ema_columns(with_inputs(k.by_series(bars)), {"ema_fast": ("close", fast), "ema_slow": ("close", slow)})
     r2, residual = k.log_fit(span)
     net, path = F.abs(F.col("close") - k.lag("close", span)), k.rolling_sum(F.col("step"), span)
     df = df.withColumn("step", F.abs(F.col("close") - k.lag("close")))
@@ -37,9 +40,9 @@ def feature_frame(bars: DataFrame, fast: int = FAST, slow: int = SLOW, atr: int
         "strength": k.warmed(F.when(F.col("path") == 0, 0.0).otherwise(F.col("net") / F.col("path")), span),
         "persistence": k.warmed(F.col("r2"), span),
         "stability": k.warmed(1.0 - scatter, span),
-        "energy": k.warmed(k.rolling_percentile(F.col("rv"), rank), vol + rank - 1),
-        "participation": k.warmed(k.rolling_percentile(F.col("volume"), rank), rank),
     })
+    df = k.rank_columns(df, {"energy": ("rv", rank), "participation": ("volume", rank)}, chunk_ms)
+    df = df.withColumns({"energy": k.warmed(F.col("energy"), vol + rank - 1), "participation": k.warmed(F.col("participation"), rank)})
     df = df.withColumn("compression", 1.0 - F.col("energy"))
     df = df.withColumn("compression_release", k.warmed(-(F.col("compression") - k.lag("compression")), vol + rank))
     return df.drop("step", "r2", "residual", "net", "path")
@@ -76,12 +79,13 @@ def availability(frame: DataFrame, names: list[str]) -> DataFrame:
     return found.withColumns({"computable": F.col("values") > 0, "reason": F.coalesce(reason, F.lit(""))})
 
 
-def lifecycle_frame(frame: DataFrame, rank: int = RANK) -> DataFrame:
+def lifecycle_frame(frame: DataFrame, rank: int = RANK, chunk_ms: int | None = None) -> DataFrame:
     """Inputs of the lifecycle: direction as it is, strength and stability ranked, energy, and crowding or a neutral constant with a flag."""
     w = W.partitionBy("series")
     funded = F.count("crowding").over(w) > 0 if "crowding" in frame.columns else F.lit(False)
     crowd = F.when(funded, F.col("crowding")).otherwise(0.5) if "crowding" in frame.columns else F.lit(0.5)
-    df = frame.withColumns({"strength": k.rolling_percentile(F.col("strength"), rank), "stability": k.rolling_percentile(F.col("stability"), rank), "crowding": crowd, "crowding_measured": funded})
+    df = k.rank_columns(frame.withColumns({"crowding": crowd, "crowding_measured": funded}), {"_strength": ("strength", rank), "_stability": ("stability", rank)}, chunk_ms)
+    df = df.withColumns({"strength": F.col("_strength"), "stability": F.col("_stability")}).drop("_strength", "_stability")
     return df.withColumn("measurable", measurable())
 
 

@@ -145,7 +145,7 @@ def all_signals(bars: DataFrame, names: list[str] | None = None, **options: dict
 
     The generators are put on one frame one after the other, so bars are read and shuffled once for all of them.
     """
-    names, df = names or list(BUILDERS), bars
+    names, df = names or list(BUILDERS), k.by_series(bars)
     for n in names:
         known = set(df.columns)
         df = BUILDERS[n](df, **options.get(n, {}))

@@ -25,6 +25,15 @@ CASES = {
     "pick <select><option>a</option><option>b</option></select> now": "pick a now",
     "<p hidden>no</p><p style='display:block' hidden>yes</p>": "yes",
     "<textarea><p>raw</textarea>": "<p>raw",
+    "<style>@media print {.x{display:none}} @media screen and (max-width: 600px){.x{display:none}}</style><p class=x>seen": "seen",
+    "<style>@media screen {.x{display:none}} .y{display:none}</style><p class=x>no<p class=y>no<p>yes": "yes",
+    "<style media=print>p{display:none}</style><p>seen": "seen",
+    "<style>@import url(a;b); @font-face{src:x} .q::before{content:'}'} .x{display:none}</style><i class=x>no</i><i class=q>yes</i>": "yes",
+    "<style>@supports (display:grid){@media all{.x{display:none}} @media print{.y{display:none}}}</style><i class=x>no</i><i class=y>yes</i>": "yes",
+    "<!-- <style>p{display:none}</style> --><p>seen": "seen",
+    "<ol start=3><li>c<li value=9>i<li>j</ol><ol><li>a</ol>": "3. c\n9. i\n10. j\n\n1. a",
+    "<textarea>hi</textarea><button>Go</button>": "hi Go",
+    "<a title='>'>x</a><a title=\">y": "xy",
     "<table><tr><td><ul><li>in</ul></td><td>b</td></tr></table>end": "- in  b\n\nend",
 }
 
@@ -59,6 +68,15 @@ def test_time_grows_with_the_page(part):
     assert took[1] < 9 * took[0] + 0.3
 
 
+@pytest.mark.parametrize("page", ["<a " * 340_000 + '"', "<style>" + "a" * 1_000_000, "<style " * 150_000, "<style>" + '"' * 1_000_000, "<style>" + "@media x{" * 110_000, "<a \">\" " * 120_000 + "'", "<a '>" * 200_001, "<p style='" * 100_000, "<table>" + "<tr><td rowspan=9999>x" * 8000])
+def test_a_megabyte_of_anything_ends_soon(page):
+    import time
+
+    began = time.process_time()
+    assert len(html_text.visible_text(page)) < 60 * len(page)
+    assert time.process_time() - began < 6
+
+
 def tree(rng, depth=0):
     """A random element as (name, hidden, children); leaves are words."""
     if depth > 4 or rng.random() < 0.3:

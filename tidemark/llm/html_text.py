@@ -8,7 +8,8 @@ table cells so that the columns of a table line up, cells that span several colu
 
 Hidden are: elements that never show, `hidden`, `aria-hidden`, `display: none` (with all that is inside), `visibility: hidden`
 (until an element inside is visible again), closed `<details>` but for their summary, and what rules of `<style>` with a
-single selector of a tag, a class, an id or a tag with one of these set so. Of a `<select>` the chosen option shows.
+single selector of a tag, a class, an id or a tag with one of these set so, if they hold on any screen (rules for print or for
+screens of some size don't count). Of a `<select>` the chosen option shows.
 """
 
 from __future__ import annotations
@@ -44,16 +45,23 @@ ENDS = {
 CLOSES_P = BLOCK - {"html", "body", "tr", "caption", "thead", "tbody", "tfoot", "legend", "summary"}
 SCOPES = frozenset("table td th caption button".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>\"']*)", re.S)
+_TAG_STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_STYLE = re.compile(r"<style\b[^>]*>(.*?)(?:</style|\Z)", re.I | re.S)
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_STYLE = re.compile(r"<!--|<style(?=[\s/>])", re.I)
+_SHEET = re.compile(r"\"(?:[^\"\\\n]|\\.)*(?:\"|\n|\Z)|'(?:[^'\\\n]|\\.)*(?:'|\n|\Z)|[{};]", re.S)
+_MEDIA = re.compile(r"(?:(?:only\s+)?(?:all|screen)|not\s+print)", re.I)
+_MEDIA_OF = re.compile(r"\bmedia\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+#: At-rules whose rules count as those around them do; rules inside others say nothing of elements.
+_GROUPS = ("@supports", "@layer")
 _SELECTOR = re.compile(r"([A-Za-z][A-Za-z0-9-]*)?(?:([.#])([A-Za-z0-9_-]+))?")
 _DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)", re.I)
 _VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z]+)", re.I)
 #: Cells of a row reach so many columns at most, as in browsers.
 MOST_SPAN = 1000
+#: A table whose aligned lines would be so many times longer than its text isn't aligned: cells that span many rows push others ever farther.
+MOST_PADDING = 50
 #: Lists are indented so many levels deep at most.
 MOST_INDENT = 20
 
@@ -64,17 +72,60 @@ def declared(style: str) -> tuple[bool | None, bool | None]:
     return (None if not d else d[1].lower() != "none"), (None if not v else v[1].lower() == "visible")
 
 
+def on_screen(media: str) -> bool:
+    """Whether a list of media queries holds on any screen; a query about the size or kind of the screen doesn't."""
+    return not media.strip() or any(_MEDIA.fullmatch(q.strip()) for q in media.split(","))
+
+
+def sheets(source: str):
+    """The style sheets for any screen, in order; those in comments don't count."""
+    at = 0
+    while m := _STYLE.search(source, at):
+        if m[0] == "<!--":
+            at = source.find("-->", m.end())
+        else:
+            at = source.find(">", m.end())
+            if at >= 0:
+                end = re.compile("</style", re.I).search(source, at)
+                end = end.start() if end else len(source)
+                media = _MEDIA_OF.search(source, m.end(), at)
+                if on_screen(media[1].strip("\"'") if media else ""):
+                    yield source[at + 1 : end]
+                at = end
+        if at < 0:
+            return
+
+
+def sheet_rules(sheet: str):
+    """Selectors and declarations of the rules of a sheet that hold on any screen, in one pass over its braces."""
+    sheet = re.sub(r"/\*.*?(?:\*/|\Z)", "", sheet, flags=re.S)
+    start, around = 0, []  # of each open brace: what stands before it, where its body begins, whether its rules count
+    for m in _SHEET.finditer(sheet):
+        if m[0] == "{":
+            head = sheet[start : m.start()].strip()
+            name = head.split("(")[0].split()[0].lower() if head else ""
+            counts = (not around or (around[-1][2] and around[-1][0][:1] == "@")) and (name[:1] != "@" or name in _GROUPS or (name == "@media" and on_screen(head[6:])))
+            around.append((head, m.end(), counts))
+            start = m.end()
+        elif m[0] == "}":
+            if around:
+                head, body, counts = around.pop()
+                if counts and head[:1] != "@":
+                    yield head, sheet[body : m.start()]
+            start = m.end()
+        elif m[0] == ";" and (not around or around[-1][0][:1] == "@"):
+            start = m.end()
+
+
 def style_rules(source: str) -> dict[tuple[str, str, str], tuple[bool | None, bool | None]]:
     """(tag, mark, name) of the rules of all style elements that say something of display or visibility; later ones count."""
     found: dict = {}
-    if "<style" not in source and "<STYLE" not in source.upper():
-        return found
-    for sheet in _STYLE.finditer(source):
-        for rule in _RULE.finditer(re.sub(r"/\*.*?(?:\*/|\Z)", "", sheet[1], flags=re.S)):
-            display, visible = declared(rule[2])
+    for sheet in sheets(source):
+        for selectors, body in sheet_rules(sheet):
+            display, visible = declared(body)
             if display is None and visible is None:
                 continue
-            for selector in rule[1].split(","):
+            for selector in selectors.split(","):
                 m = _SELECTOR.fullmatch(selector.strip())
                 if m and m[0]:
                     key = ((m[1] or "").lower(), m[2] or "", m[3] or "")
@@ -83,6 +134,15 @@ def style_rules(source: str) -> dict[tuple[str, str, str], tuple[bool | None, bo
     return found
 
 
+def number_of(raw: str | None, name: str) -> int | None:
+    """A whole number that an attribute gives."""
+    for m in _ATTRIBUTE.finditer(raw or ""):
+        value = (m[2] or "").strip("\"'").strip()
+        if m[1].lower() == name and re.fullmatch(r"-?[0-9]{1,9}", value):
+            return int(value)
+    return None
+
+
 class Page:
     """Open elements, and the lines so far; a table collects rows of cells until it ends."""
 
@@ -218,9 +278,11 @@ class Page:
         elif name in BLOCK:
             self.end_line(1 if name in PARAGRAPH and not (name in ("ul", "ol") and self.lists) else 0)
         if name in ("ul", "ol", "menu"):
-            self.lists.append([name, 0])
+            first = number_of(raw, "start") if name == "ol" else None
+            self.lists.append([name, 0 if first is None else first - 1])
         elif name == "li" and self.lists:
-            self.lists[-1][1] += 1
+            own = number_of(raw, "value")
+            self.lists[-1][1] = self.lists[-1][1] + 1 if own is None else own
             self.marker = f"{self.lists[-1][1]}. " if self.lists[-1][0] == "ol" else "- "
 
     def enter(self) -> None:
@@ -330,6 +392,8 @@ def aligned(rows: list[list[tuple[str, int, int]]]) -> list[str]:
     for w in widths:
         starts.append(starts[-1] + w + 2)
     lines = []
+    if sum(starts[row[-1][0]] for row in cells if row) > MOST_PADDING * (1000 + sum(len(text) for row in cells for *_, text in row)):
+        return ["  ".join(text for *_, text in row if text) for row in cells]
     for row in cells:
         parts, at = [], 0
         for a, _, text in row:
@@ -340,10 +404,37 @@ def aligned(rows: list[list[tuple[str, int, int]]]) -> list[str]:
     return lines
 
 
+class TagEnds:
+    """Where tags end: at the first `>` outside of quotes.
+
+    A quote that is never closed ends no tag; such a tag ends at its first `>` or with the page. Quotes from which a search
+    has come to such an end are remembered, so a page is searched once.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.hopeless = source, set()
+        self.last = {q: source.rfind(q) for q in "\"'"}
+
+    def find(self, at: int) -> int:
+        met, start = [], at
+        while m := _TAG_STOP.search(self.source, at):
+            if m[0] == ">":
+                return m.start()
+            met.append(m.start())
+            if m.start() in self.hopeless or m.start() == self.last[m[0]]:
+                break
+            at = self.source.find(m[0], m.end()) + 1
+        if not m:
+            return len(self.source)
+        self.hopeless.update(met)
+        end = self.source.find(">", start)
+        return len(self.source) if end < 0 else end
+
+
 def visible_text(source: str | None) -> str:
     """All visible text of a page; a null or empty page has none."""
     source = source or ""
-    page, at = Page(style_rules(source)), 0
+    page, at, ends = Page(style_rules(source)), 0, TagEnds(source)
     lower = None
     while at < len(source):
         lt = source.find("<", at)
@@ -362,10 +453,14 @@ def visible_text(source: str | None) -> str:
         name = (m[2] or "").lower()
         if not name:
             continue
+        end = ends.find(at)
+        raw, at = source[at:end], end + 1
         if m[1]:
             page.close(name)
             continue
-        page.open(name, m[3])
+        if name == "textarea":
+            page.text(" ")
+        page.open(name, raw)
         if name in RAW and page.stack and page.stack[-1][0] == name:
             lower = source.lower() if lower is None else lower
             end = lower.find(f"</{name}", at) if len(lower) == len(source) else source.find(f"</{name}", at)
@@ -373,6 +468,8 @@ def visible_text(source: str | None) -> str:
             if name == "textarea":
                 page.text(source[at:end])
             page.close(name)
+            if name == "textarea":
+                page.text(" ")
             close = source.find(">", end)
             at = len(source) if close < 0 else close + 1
     while page.stack:

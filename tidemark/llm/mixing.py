@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, row_hash, table, written
+from .common import discard, met, row_hash, table, written
 
 #: Blocks of a source in a pass, and smaller blocks in each of these.
 BLOCKS = 1024
@@ -23,6 +23,8 @@ BLOCKS = 1024
 FAN = 15
 #: So many sources' plans are broadcast at most.
 BROADCAST_SOURCES = 10_000
+#: So many keys of repeated rows are broadcast at most (8 MB).
+BROADCAST_COPIES = 1_000_000
 SALTS = 64
 SEED = 17
 
@@ -86,13 +88,15 @@ def mix_sources(docs: DataFrame, tokens: Column | None = None, target_entropy: f
     own. A document is taken in each whole pass of its source and in the part pass while the budget lasts; the last one taken
     may go past it. Repeated rows are rows of their own; texts that are null or empty count one token. An empty table gives none.
     Columns of docs with the names above are replaced; its other columns may have any names and types, maps too. Rows are
-    told apart by a hash of all columns; rows alike in all of them are taken or left together.
+    told apart by a hash of all columns, and those alike in all of them by a number.
     """
     names = ("mix_pass", "mix_block", "mix_key", "mix_tokens", "mix_weight")
     docs = docs.drop(*names)
-    row = row_hash(docs)
-    light = docs.select(row.alias("_row"), "source", (token_count(F.col("text")) if tokens is None else tokens).alias("tokens"))
-    light = written(light, "tokens")
+    size = token_count(F.col("text")) if tokens is None else tokens
+    # docs' own columns travel in one struct, so their names meet none of the plan's
+    whole = docs.select(row_hash(docs).alias("_row"), "source", size.alias("tokens"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    light = written(whole.select("_row", "source", "tokens"), "tokens")
+    whole, light = told_apart(whole, light)
     sources = written(source_tokens(light), "sources")
     if sources.isEmpty():
         return docs.select("*", *[F.lit(None).cast(t).alias(n) for n, t in zip(names, ("int", "int", "long", "long", "double"))])
@@ -122,9 +126,7 @@ def mix_sources(docs: DataFrame, tokens: Column | None = None, target_entropy: f
     cuts = written(cuts, "cuts")
     for spent in (light, sources, plan, first, second):
         discard(spent)
-    # docs' own columns travel in one struct, so their names meet none of the plan's
-    rows = docs.select(row.alias("_row"), "source", (token_count(F.col("text")) if tokens is None else tokens).alias("mix_tokens"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    rows = with_plan(rows, cuts, few)
+    rows = with_plan(whole.withColumnRenamed("tokens", "mix_tokens"), cuts, few)
     k = pass_key(F.col("passes"), seed)
     in_small = (small_block(k) < F.col("cut2")) | ((small_block(k) == F.col("cut2")) & (F.struct(k.alias("_key"), F.col("_row")) <= F.col("top")))
     in_part = F.coalesce((block(k) < F.col("cut1")) | ((block(k) == F.col("cut1")) & in_small), F.lit(False))
@@ -134,6 +136,29 @@ def mix_sources(docs: DataFrame, tokens: Column | None = None, target_entropy: f
     return out.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns], "mix_pass", block(mine).alias("mix_block"), mine.alias("mix_key"), "mix_tokens", F.col("weight").alias("mix_weight"))
 
 
+def told_apart(whole: DataFrame, light: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables with a _row of its own for each row: copies of a row are numbered, in groups by the task that wrote them.
+
+    whole has _row, source, tokens and _doc, light (stored) the first three. Without copies both stay as they are.
+    """
+    copies = written(light.groupBy("_row").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
+    n = copies.count()
+    if not n:
+        return whole, light
+    keys = copies.select("_row")
+    keys = F.broadcast(keys) if n <= BROADCAST_COPIES else keys.hint("merge")
+    again = met(whole, copies, "_row", light.count()).drop("copies")
+    again = written(again.withColumns({"_task": F.spark_partition_id(), "_own": F.monotonically_increasing_id()}), "repeated")
+    before = F.sum("n").over(W.partitionBy("_row").orderBy("_task").rowsBetween(W.unboundedPreceding, -1))
+    starts = again.groupBy("_row", "_task").agg(F.count("*").alias("n")).select("_row", "_task", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(W.partitionBy("_row", "_task").orderBy("_own"))
+    again = again.withColumn("_place", place).join(starts.hint("merge"), ["_row", "_task"])
+    number = F.xxhash64("_row", F.col("_before") + F.col("_place"))
+    again = written(again.select(number.alias("_row"), "source", "tokens", "_doc"), "numbered")
+    light = written(light.join(keys, "_row", "left_anti").unionByName(again.select("_row", "source", "tokens")), "tokens")
+    return whole.join(keys, "_row", "left_anti").unionByName(again), light
+
+
 def pass_key(number: Column, seed: int) -> Column:
     """A row's place in the permutation of a pass."""
     return F.xxhash64("_row", number, F.lit(seed))

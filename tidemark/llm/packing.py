@@ -137,22 +137,24 @@ def places(plan: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarray]:
 def pack(pieces: DataFrame, capacity: int = CAPACITY, rank_group: int = RANK_GROUP) -> DataFrame:
     """Add sequence_id and offset to a table of pieces (doc_id, piece, length, ...), read more than once: pass a stored table.
 
-    Every piece is placed once; offsets in a sequence are gapless from 0. Repeated pieces are each placed. A piece longer
+    Every piece is placed once; offsets in a sequence are gapless from 0. Repeated pieces are each placed; a column
+    piece_row, if there is one, tells them apart (see numbered()), so that many of them are ranked in many tasks. A piece longer
     than the capacity is an error. Columns named sequence_id or offset are replaced. An empty table gives an empty table.
     """
     spark, pieces = pieces.sparkSession, pieces.drop("sequence_id", "offset")
-    columns = pieces.columns
+    columns = [c for c in pieces.columns if c != "piece_row"]
+    apart = ["piece_row"] if "piece_row" in pieces.columns else ["doc_id", "piece", "ids_crc32"]
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     if any(k is None or not 0 < k <= capacity for k in histogram):
         raise ValueError(f"lengths must be 1 to {capacity}")
     runs = places(minimum_slack_plan(histogram, capacity))
     few = spark.createDataFrame([(k, -(-v // rank_group)) for k, v in histogram.items()], "length long, _salts long")
     salted = pieces.join(F.broadcast(few), "length")  # at most `capacity` rows
-    salted = salted.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "_salts")).drop("_salts")
+    salted = salted.withColumn("_salt", F.pmod(F.xxhash64(*apart), "_salts")).drop("_salts")
     sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(W.partitionBy("length").orderBy("_salt").rowsBetween(W.unboundedPreceding, -1))
     starts = sizes.select("length", "_salt", F.coalesce(before, F.lit(0)).alias("_before"))
-    own = F.row_number().over(W.partitionBy("length", "_salt").orderBy("doc_id", "piece"))
+    own = F.row_number().over(W.partitionBy("length", "_salt").orderBy(*apart))
     ranked = salted.withColumn("_own", own).join(starts.hint("merge"), ["length", "_salt"])
     ranked = ranked.withColumn("_rank", F.col("_own") - 1 + F.col("_before")).select(*columns, "_rank")
 
@@ -169,12 +171,17 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rank_group: int = RANK_GRO
             kept = [batch.column(i) for i, name in enumerate(batch.schema.names) if name != "_rank"]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], names=[*columns, "sequence_id", "offset"])
 
-    schema = T.StructType([*pieces.schema.fields, *(T.StructField(c, T.LongType()) for c in ("sequence_id", "offset"))])
+    schema = T.StructType([*pieces.select(*columns).schema.fields, *(T.StructField(c, T.LongType()) for c in ("sequence_id", "offset"))])
     return ranked.mapInArrow(place, schema)
 
 
+def numbered(pieces: DataFrame) -> DataFrame:
+    """pieces with piece_row, a number of its own for each row once the table is written."""
+    return pieces.withColumn("piece_row", F.monotonically_increasing_id())
+
+
 def query_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    pieces = written(tokenizer_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")), "pieces")
+    pieces = written(numbered(tokenizer_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))), "pieces")
     return pack(pieces)

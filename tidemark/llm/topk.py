@@ -205,14 +205,14 @@ def query_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_TOP_K = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(CAST(c AS DOUBLE) * 256) AS BIGINT)) AS x FROM embeddings
+  SELECT row_number() OVER () AS own, vec_id, list_transform(embedding, lambda c: CAST(floor(CAST(c AS DOUBLE) * 256) AS BIGINT)) AS x FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, r.vec_id, CAST(list_inner_product(CAST(q.x AS DOUBLE[]), CAST(r.x AS DOUBLE[])) AS BIGINT) AS score
-  FROM v q JOIN v r ON q.vec_id <> r.vec_id AND len(q.x) = len(r.x) WHERE q.vec_id % 50 = 0
+  SELECT q.own, q.vec_id AS query_id, r.vec_id, CAST(list_inner_product(CAST(q.x AS DOUBLE[]), CAST(r.x AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v r ON q.own <> r.own AND len(q.x) = len(r.x) WHERE q.vec_id % 50 = 0
 ), t AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
 )
 SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 5
 """

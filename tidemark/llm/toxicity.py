@@ -238,14 +238,18 @@ def split_remainder():
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """text and toxic of at most `rows` labelled texts outside the held-out fold, those of the lowest id hashes.
 
-    A doc_id with several labels is toxic if one of them says so; one with several texts gives them all.
+    A doc_id with several labels is toxic if one of them says so; one with several texts gives them all, each once, as far as
+    `rows` lasts: repeated rows are one.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(split_remainder() != 2).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     known = written(known, "labels")
     share = 1.2 * rows / max(known.count(), 1)  # so that few more than `rows` are sorted
     few = known if share >= 1 else known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     few = written(few.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id").limit(rows), "labelled")
-    sample = written(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", F.col("_toxic").alias("toxic")), "sample")
+    texts = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").withColumn("_hash", F.xxhash64("text"))
+    texts = texts.groupBy("doc_id", "_hash").agg(F.max("text").alias("text"), F.max("_toxic").alias("toxic"))
+    order = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id", "_hash")
+    sample = written(texts.orderBy(*order).limit(rows).select("text", "toxic"), "sample")
     discard(known)
     discard(few)
     return sample

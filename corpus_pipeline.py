@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, neardup, packing, pii, toxicity
-from tidemark.llm.common import free_name, shared_dir, table, written
+from tidemark.llm.common import discard, free_name, shared_dir, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all rows with their places in sequences; a row that the mix repeats is packed each time."""
-    pieces = written(packing.tokenizer_pieces(docs, public_tokenizers.path("word_bpe_49k.json")), "pieces")
+    pieces = written(packing.numbered(packing.tokenizer_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))), "pieces")
     return packing.pack(pieces)
 
 
@@ -55,10 +55,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over `documents`; each stage's rows are written as Parquet and read by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages in order over `documents`; each stage's rows are written as Parquet and read by the next, and then deleted."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            discard(before)
+        before = docs
     return docs

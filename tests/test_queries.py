@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tidemark import queries
+from tidemark import registry as queries
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 

@@ -31,7 +31,7 @@ def side_of(level: float, before: float) -> str:
 
 
 class SignalProcessor(StatefulProcessor):
-    """Rows of a series: rules first, then bars in time order.
+    """Rows of a series: rules first, then bars in time order. A rule's name is its generator's, or its options name that as `rule`.
 
     A bar older than the newest is counted as late and emits nothing; one of the same instant replaces it and is counted as
     revised. rules are those of every series, by strategy: (options, exits). Bars up to emit_after_ms emit nothing.
@@ -66,7 +66,7 @@ class SignalProcessor(StatefulProcessor):
     def memories(self, pdf: pd.DataFrame) -> dict[str, dict]:
         """What each strategy keeps, after the rules among the rows; a rule given anew starts anew, an inactive one ends."""
         found = {k[0]: json.loads(v[0]) for k, v in self.memory.iterator()}
-        fresh = lambda s, o, e: {"strategy": s, "options": o, "exits": e, "seen": 0, "before": {}, "after": {}}
+        fresh = lambda name, o, e: {"strategy": o.get("rule", name), "options": {k: v for k, v in o.items() if k != "rule"}, "exits": e, "seen": 0, "before": {}, "after": {}}
         for name, (options, exits) in self.rules.items():
             found.setdefault(name, fresh(name, options, exits))
         if "strategy" in pdf:
@@ -334,4 +334,4 @@ def run_all(stream: DataFrame, sink: str, checkpoint: str, key: list[str], stric
         raise ValueError(f"{dropped} rows came after their instant was closed")
     if not stored(spark, sink):
         return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(sink)
+    return spark.read.parquet(sink).select(*stream.columns)

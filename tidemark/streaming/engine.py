@@ -334,4 +334,4 @@ def run_all(stream: DataFrame, sink: str, checkpoint: str, key: list[str], stric
         raise ValueError(f"{dropped} rows came after their instant was closed")
     if not stored(spark, sink):
         return spark.createDataFrame([], stream.schema)
-    return spark.read.parquet(sink).select(*stream.columns)
+    return spark.read.schema(stream.schema).parquet(sink).select(*stream.columns)

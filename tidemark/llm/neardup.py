@@ -7,10 +7,10 @@ and so on down to units. Parts beyond the weight are dropped, and so are parts w
 fills all places, with all that is below them: however large a weight, only the parts with early points are split. The same
 shingle is split alike in all texts, so what two weights share is the same points. Every point falls to one of the
 signature's places, which keeps its earliest point, so two signatures agree in a place with the weighted Jaccard
-similarity as probability. Signatures are banded; in each bucket every node is compared with its neighbours in a random order
-(so a bucket of n nodes makes n pairs in the first round), each pair is verified on the full multisets, and
-buckets that still hold several components are put in other orders, with twice as many neighbours, in further rounds, in which
-only nodes of different components meet. What large buckets still hold apart then is compared exactly: all similar pairs of different components share one of their rarest shingles (prefix filter), and a node
+similarity as probability. Signatures are banded; in each bucket every node is compared with its neighbour in a random order
+(so a bucket of n nodes makes n pairs), each pair is verified on the full multisets, and buckets that still hold several
+components are dealt at random, in further rounds, to blocks in which each node outside the largest component meets the
+likeliest node of another one. What large buckets still hold apart then is compared exactly: all similar pairs of different components share one of their rarest shingles (prefix filter), and a node
 meets the likeliest nodes of another component first, more and more of them until the two are one or all have been tried.
 """
 
@@ -29,9 +29,11 @@ SIMILARITY = 0.8
 PLACES, BAND = 64, 4
 #: Pairs whose signatures agree in a smaller share of places than this are not verified (0.8 minus over 5 deviations).
 LEAST_ESTIMATE = 0.5
-#: Rounds of neighbours; after the first, buckets up to SMALL nodes compare all nodes of different components. Larger ones
+#: Rounds; after the first, buckets up to SMALL nodes compare all nodes of different components. Larger ones
 #: that the rounds leave unresolved are finished by apart(). Nodes of a bucket that are put in one order, about.
 ROUNDS, SMALL, SPREAD = 6, 32, 1024
+#: Least share of places in which two signatures agree for their nodes to meet in the rounds after the first; below it the exact finish finds them.
+LIKELY = 0.65
 #: So many nodes are broadcast at most (16 MB) when their texts are read again.
 BROADCAST_NODES = 1_000_000
 
@@ -214,19 +216,46 @@ def verified(pairs: DataFrame, compared: DataFrame, similarity: float) -> DataFr
     return both.select("a", "b", "p", "q", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def neighbours(rows: DataFrame, r: int) -> DataFrame:
-    """a, b of each node and the 2**r nodes before it in a random order of its bucket, if they belong to other components.
+def neighbours(rows: DataFrame) -> DataFrame:
+    """a, b of each node and the one before it in a random order of its bucket.
 
-    rows has bucket, node, size (of the bucket) and root. Each round r has an order of its own, and buckets of many nodes
-    are dealt at random to parts of about SPREAD, so no task gets a whole one and no node is in more than 2**(r + 1) pairs of a bucket.
+    rows has bucket, node and size (of the bucket). Buckets of many nodes are dealt at random to parts of about SPREAD, so
+    no task gets a whole one and a node is in two pairs of a bucket at most.
     """
-    part = F.pmod(F.xxhash64("node", F.lit(r)), F.ceil(F.col("size") / SPREAD)).cast("int")
-    order = Window.partitionBy("bucket", "_part").orderBy(F.xxhash64(F.lit(r), "node"), "node").rowsBetween(-(1 << r), -1)
-    x = rows.withColumn("_part", part).withColumn("_before", F.collect_list(F.struct("node", "root")).over(order))
-    x = x.select("node", F.explode(F.filter("_before", lambda m: m["root"] != F.col("root"))["node"]).alias("mate"))
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / SPREAD)).cast("int")
+    before = F.lag("node").over(Window.partitionBy("bucket", "_part").orderBy("node"))  # nodes are hashes already
+    x = rows.withColumn("_part", part).select("node", before.alias("mate")).where("mate is not null")
     return x.select(F.least("node", "mate").alias("a"), F.greatest("node", "mate").alias("b"))
 
 
+def likely_mates(rows: DataFrame, r: int) -> DataFrame:
+    """a, b of each node outside the largest component of its part of a bucket, and the node of another component whose signature agrees best.
+
+    rows has bucket, node, size, root and sig. Buckets are dealt at random, anew in each round r, to parts of about SPREAD
+    nodes; the signatures of a part are compared in blocks, and pairs that agree in less than LIKELY of the places aren't made.
+    """
+
+    def best(part: pa.Table) -> pa.Table:
+        node, root = (part.column(c).to_numpy() for c in ("node", "root"))
+        sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, PLACES)
+        names, which, count = np.unique(root, return_inverse=True, return_counts=True)
+        outside = np.flatnonzero(which != count.argmax())
+        a, b = [], []
+        for lo in range(0, len(outside), 64):
+            i = outside[lo : lo + 64]
+            agree = (sig[i, None, :] == sig[None, :, :]).mean(2)
+            agree[which[i][:, None] == which[None, :]] = -1
+            j = agree.argmax(1)
+            fine = agree[np.arange(len(i)), j] >= LIKELY
+            a.append(node[i[fine]])
+            b.append(node[j[fine]])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    part = F.pmod(F.xxhash64("node", F.lit(r)), F.ceil(F.col("size") / SPREAD)).cast("int")
+    return rows.select("bucket", part.alias("_part"), "node", "root", "sig").groupBy("bucket", "_part").applyInArrow(best, "a long, b long")
+
+
 def shared_shingles(bag: DataFrame) -> DataFrame:
     """token, node for each element of each node's bag."""
 
@@ -345,7 +374,10 @@ def classified(docs: DataFrame, similarity: float, rounds: int) -> DataFrame:
                 rows = rows.where(F.col("size") > SMALL)
             spent.append(rows := written(rows.join(mixed.hint("merge"), "bucket"), "mixed", shared))
             members = rows.select("bucket", "node", "size")
-        pairs = neighbours(rows, r)
+        if r:
+            pairs = likely_mates(rows.where(F.col("size") > SMALL).join(nodes.select("node", "sig").hint("merge"), "node"), r)
+        else:
+            pairs = neighbours(rows)
         if r == 1:  # few are left: in small buckets all nodes of different components meet
             other = rows.where(F.col("size") <= SMALL)
             mates = other.select("bucket", F.col("node").alias("b"), F.col("root").alias("other"))

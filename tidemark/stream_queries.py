@@ -153,7 +153,7 @@ def streamed_rule_map(spark, sf_dir):
 def streamed_complete_bars(spark, sf_dir):
     """Tumbling bars of the event stream over several micro-batches, none lost: a closing row lets the last ones go, and late rows would be an error."""
     x = b.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
-    return ran(spark, signals.event_bars(in_slices(spark, x, end=True)).where("series IS NOT NULL"), ["series", "ts"], strict=True)
+    return ran(spark, signals.event_bars(in_slices(spark, x, end=True)), ["series", "ts"], strict=True)
 
 
 @query(f"WITH {HOURLY} SELECT ts + INTERVAL 3599999 MILLISECOND AS ts_close, series, close, count(*) OVER (PARTITION BY ts) AS present FROM bars")

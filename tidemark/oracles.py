@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.queries import DAILY, EMA, ema_sql
+from tidemark.queries import CHANNEL, DAILY, EMA, PATTERN, POSITION, RESOLVED, TRADES, ema_sql
+from tidemark.queries import ORACLE_SQL as BATCH
 
 W = "(PARTITION BY series ORDER BY ts)"
 
@@ -81,3 +82,45 @@ o AS (SELECT *, desired - coalesce(lag(desired) OVER {W}, 0) AS o FROM d) SELECT
     "convergence_audit": f"""WITH RECURSIVE {STATES}, late AS MATERIALIZED (SELECT * REPLACE (row_number() OVER {W} AS n) FROM machine WHERE ts >= TIMESTAMP '1997-01-01'), {walk_sql('late', 'cold', 'cold_walk')}
 SELECT a.series, count(*) AS bars, CAST(count_if(a.state <> b.state) AS BIGINT) AS differing FROM states a JOIN cold b ON a.series = b.series AND a.ts = b.ts WHERE a.ts >= TIMESTAMP '1998-01-01' GROUP BY a.series""",
 }
+
+# studies over the feature frame ---------------------------------------------------------------------------------------------
+
+#: The wide frame with halves, the forward efficiency of 16 bars, its tercile cuts of the training half, and three gates.
+GATED = f"""{WIDE}, halved AS MATERIALIZED (SELECT *, CASE WHEN n <= floor(count(*) OVER (PARTITION BY series) * 0.6) THEN 'train' ELSE 'test' END AS half FROM wide),
+l0 AS (SELECT *, abs(close - lag(close) OVER {W}) AS d, lead(close) OVER {W} AS c1, lead(close, 17) OVER {W} AS c17 FROM halved),
+l1 AS (SELECT *, CASE WHEN count(d) OVER v = 16 AND sum(d) OVER v > 0 THEN abs(c17 - c1) / sum(d) OVER v END AS fer FROM l0 WINDOW v AS (PARTITION BY series ORDER BY ts ROWS BETWEEN 2 FOLLOWING AND 17 FOLLOWING)),
+cuts AS (SELECT series, quantile_cont(fer, 2 / 3) AS top FROM l1 WHERE half = 'train' GROUP BY series),
+gated AS MATERIALIZED (SELECT l1.*, CASE WHEN fer IS NOT NULL THEN fer >= top END AS trending, energy <= 0.4 AS calm, strength >= 0.15 AS strong, energy <= 0.4 AND strength >= 0.15 AS both_gates, row_number() OVER (PARTITION BY series, half ORDER BY ts DESC) AS back FROM l1 JOIN cuts USING (series))"""
+
+
+def rates_sql(gate: str, source: str = "gated") -> str:
+    """series, half (and full), bars and the rates inside and outside a gate."""
+    one = f"""SELECT series, {{half}} AS half, count(*) AS bars, avg(CAST(trending AS INT)) AS base_rate, avg(CASE WHEN {gate} THEN CAST(trending AS INT) END) AS inside_rate, avg(CASE WHEN NOT {gate} THEN CAST(trending AS INT) END) AS outside_rate, avg(CAST({gate} AS INT)) AS coverage FROM {source} WHERE trending IS NOT NULL AND {gate} IS NOT NULL GROUP BY series{{by}}"""
+    return one.format(half="half", by=", half") + " UNION ALL " + one.format(half="'full'", by="")
+
+
+SIGNALS = ("turnaround_v1", "turnaround_v2", "sma_pullback", "trend_rider", "tsmom", "ema_cross", "donchian", "multi_horizon")
+ORACLE_SQL |= {
+    "all_signals": " UNION ALL ".join(f"SELECT series, '{n}' AS strategy, {', '.join(f'CAST(count_if({c}) AS BIGINT) AS {c}s' for c in ('long_entry', 'long_exit', 'short_entry', 'short_exit'))} FROM ({BATCH[n].replace('n > 100', 'n > 400') if n == 'turnaround_v1' else BATCH[n]}) GROUP BY series" for n in SIGNALS),
+    "lift_table": f"WITH {GATED}, r AS ({rates_sql('calm')}) SELECT series, half, bars, round(base_rate, 6) AS base_rate, round(inside_rate, 6) AS inside_rate, round(outside_rate, 6) AS outside_rate, round(coverage, 6) AS coverage, round((inside_rate - base_rate) * 100, 6) AS lift_pp, round((inside_rate - outside_rate) * 100, 6) AS separation_pp FROM r",
+    "embargo_change": f"WITH {GATED}, kept AS (SELECT * FROM gated WHERE half = 'test' OR back > 17), a AS ({rates_sql('calm')}), c AS ({rates_sql('calm', 'kept')}) SELECT series, half, a.bars, round((a.inside_rate - a.base_rate) * 100, 6) AS lift_pp, c.bars AS bars_kept, round((c.inside_rate - c.base_rate) * 100, 6) AS lift_kept FROM a JOIN c USING (series, half)",
+    "gate_verdicts": f"""WITH {GATED}, s AS (SELECT *, 'calm' AS gate FROM ({rates_sql('calm')}) UNION ALL SELECT *, 'strong' FROM ({rates_sql('strong')})), b AS ({rates_sql('both_gates')}),
+g AS (SELECT s.series, s.gate, (b.inside_rate - s.inside_rate) * 100 AS gap FROM s JOIN b USING (series, half) WHERE half <> 'full'), v AS (SELECT gate, bool_and(coalesce(inside_rate - base_rate > 0, false)) AS all_positive, avg((inside_rate - base_rate) * 100) AS mean_lift FROM s WHERE half <> 'full' GROUP BY gate)
+SELECT gate, series, round(min(gap), 6) AS least_gap_pp, bool_and(gap >= 0) AS both_halves, any_value(all_positive) AS all_positive, round(any_value(mean_lift), 6) AS mean_lift, any_value(all_positive AND mean_lift >= 1) AS passes FROM g JOIN v USING (gate) GROUP BY gate, series""",
+    "coverage_threshold": f"""WITH {GATED}, c AS (SELECT series, quantile_cont(energy, 0.25) AS enter, quantile_cont(energy, 0.5) AS leave FROM halved WHERE half = 'train' GROUP BY series)
+SELECT h.series, round(enter, 6) AS enter, round(leave, 6) AS leave, round(avg(CASE WHEN half = 'train' THEN CAST(energy <= enter AS INT) END), 6) AS train_coverage, round(avg(CASE WHEN half = 'test' THEN CAST(energy <= enter AS INT) END), 6) AS test_coverage FROM halved h JOIN c USING (series) WHERE energy IS NOT NULL GROUP BY h.series, enter, leave""",
+    "persistence_rows": f"""WITH {WIDE}, f AS (SELECT series, ts, n, energy <= 0.4 AS g, CAST(energy <= 0.4 AS INT) AS x, lag(CAST(energy <= 0.4 AS INT)) OVER {W} AS p FROM wide),
+i AS (SELECT *, n - sum(CASE WHEN g THEN 1 ELSE 0 END) OVER (PARTITION BY series ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM f), r AS (SELECT series, island, count(*) AS length FROM i WHERE g GROUP BY series, island),
+q AS (SELECT series, count(*) AS runs, round(quantile_cont(length, 0.25), 6) AS p25, round(quantile_cont(length, 0.5), 6) AS median, round(quantile_cont(length, 0.75), 6) AS p75, round(avg(length), 6) AS mean, max(length) AS longest FROM r GROUP BY series)
+SELECT s.series, s.share, s.autocorrelation, runs, p25, median, p75, mean, longest FROM (SELECT series, round(avg(x), 6) AS share, round(corr(x, p), 6) AS autocorrelation FROM f GROUP BY series) s LEFT JOIN q USING (series)""",
+    "exit_modes": f"""WITH {DAILY}, {PATTERN}, {EMA}, {ema_sql(50, 'e')}, s AS (SELECT f.series, f.ts, up AND n > 100 AS sx, false AS lx, f.close < e.v AS below, f.close > e.v AS above, f.close - lag(f.close) OVER (PARTITION BY f.series ORDER BY f.ts) AS d, f.close < avg(f.close) OVER (PARTITION BY f.series ORDER BY f.ts ROWS 39 PRECEDING) AND n >= 40 AS broken FROM f JOIN e ON e.series = f.series AND e.ts = f.ts),
+t AS (SELECT *, sum(CASE WHEN d < 0 THEN 1 ELSE 0 END) OVER v = 3 AS falls, sum(CASE WHEN d > 0 THEN 1 ELSE 0 END) OVER v = 3 AS rises FROM s WINDOW v AS (PARTITION BY series ORDER BY ts ROWS 2 PRECEDING)),
+m AS (SELECT series, lx, sx, 'opposite_signal_only' AS mode, false AS more FROM t UNION ALL SELECT series, lx, sx, 'continuation_failure', (falls AND NOT lx) OR (rises AND NOT sx) FROM t UNION ALL SELECT series, lx, sx, 'trend_failure', (below AND NOT lx) OR (above AND NOT sx) FROM t UNION ALL SELECT series, lx, sx, 'trend_structure', (broken OR falls) AND NOT lx FROM t)
+SELECT series, mode, CAST(count_if(more) AS BIGINT) AS added, CAST(count_if(lx OR sx) AS BIGINT) AS own FROM m GROUP BY series, mode""",
+    "cost_waterfall": f"""WITH {DAILY}, {CHANNEL}, {RESOLVED}, {POSITION}, {TRADES}, free AS (SELECT series, sum(held * quantity * (exit_close - close)) AS gross FROM (SELECT *, 9500.0 / close AS quantity FROM ev WHERE held <> 0 AND exit_ts IS NOT NULL) GROUP BY series),
+c AS (SELECT series, multiple, held, close, exit_close, 9500.0 / close AS q, close * (1 + held * 0.0002 * multiple) AS a, exit_close * (1 - held * 0.0002 * multiple) AS z FROM ev, (VALUES (1.0), (2.0), (4.0)) m(multiple) WHERE held <> 0 AND exit_ts IS NOT NULL),
+s AS (SELECT series, CAST(multiple AS DOUBLE) AS multiple, sum(held * q * (z - a) - 0.0006 * multiple * q * (a + z)) AS net, sum(0.0006 * multiple * q * (a + z)) AS fees, sum(q * (abs(a - close) + abs(z - exit_close))) AS slip FROM c GROUP BY series, multiple)
+SELECT series, multiple, round(gross / 10000.0, 4) AS gross_return, round(fees, 4) AS fees, round(slip, 4) AS slippage, 0.0 AS funding, round(gross - net - fees - slip, 4) AS size_effect, round(net / 10000.0, 4) AS net_return FROM s JOIN free USING (series)""",
+    "reason_diff": f"""WITH {WIDE}, a AS (SELECT series, ts, unnest(['strength', 'energy']) AS name, unnest([strength, energy]) AS x FROM wide), b AS (SELECT series, ts, name, CASE WHEN name = 'strength' AND day(ts) = 3 THEN x + 0.5 ELSE x END AS y FROM a WHERE year(ts) <> 1997)
+SELECT a.series, a.name, CASE WHEN b.series IS NULL THEN 'only in a' ELSE 'value' END AS difference, count(*) AS bars FROM a LEFT JOIN b ON a.series = b.series AND a.ts = b.ts AND a.name = b.name WHERE b.series IS NULL OR (x IS NOT NULL AND abs(x - y) > 1e-9) GROUP BY ALL""",
+}

@@ -99,6 +99,7 @@ def rates_sql(gate: str, source: str = "gated") -> str:
     return one.format(half="half", by=", half") + " UNION ALL " + one.format(half="'full'", by="")
 
 
+PAIRS = f"{WIDE}, pairs AS (" + " UNION ALL ".join(f"SELECT series, '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM wide GROUP BY series" for i, a in enumerate(FEATURES) for b in FEATURES[i + 1 :]) + ")"
 SIGNALS = ("turnaround_v1", "turnaround_v2", "sma_pullback", "trend_rider", "tsmom", "ema_cross", "donchian", "multi_horizon")
 ORACLE_SQL |= {
     "all_signals": " UNION ALL ".join(f"SELECT series, '{n}' AS strategy, {', '.join(f'CAST(count_if({c}) AS BIGINT) AS {c}s' for c in ('long_entry', 'long_exit', 'short_entry', 'short_exit'))} FROM ({BATCH[n].replace('n > 100', 'n > 400') if n == 'turnaround_v1' else BATCH[n]}) GROUP BY series" for n in SIGNALS),
@@ -113,6 +114,8 @@ SELECT h.series, round(enter, 6) AS enter, round(leave, 6) AS leave, round(avg(C
 i AS (SELECT *, n - sum(CASE WHEN g THEN 1 ELSE 0 END) OVER (PARTITION BY series ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM f), r AS (SELECT series, island, count(*) AS length FROM i WHERE g GROUP BY series, island),
 q AS (SELECT series, count(*) AS runs, round(quantile_cont(length, 0.25), 6) AS p25, round(quantile_cont(length, 0.5), 6) AS median, round(quantile_cont(length, 0.75), 6) AS p75, round(avg(length), 6) AS mean, max(length) AS longest FROM r GROUP BY series)
 SELECT s.series, s.share, s.autocorrelation, runs, p25, median, p75, mean, longest FROM (SELECT series, round(avg(x), 6) AS share, round(corr(x, p), 6) AS autocorrelation FROM f GROUP BY series) s LEFT JOIN q USING (series)""",
+    "redundant_pairs": f"WITH {PAIRS} SELECT series, a, b, round(r, 4) AS r FROM pairs WHERE abs(r) >= 0.9",
+    "closest_partner": f"WITH {PAIRS}, both_ways AS (SELECT series, a AS feature, b AS partner, r FROM pairs UNION ALL SELECT series, b, a, r FROM pairs), m AS (SELECT *, row_number() OVER (PARTITION BY series, feature ORDER BY round(abs(r), 9) DESC, partner DESC) AS k FROM both_ways WHERE r IS NOT NULL AND NOT isnan(r)) SELECT series, feature, partner, round(r, 6) AS r, abs(r) >= 0.9 AS redundant FROM m WHERE k = 1",
     "exit_modes": f"""WITH {DAILY}, {PATTERN}, {EMA}, {ema_sql(50, 'e')}, s AS (SELECT f.series, f.ts, up AND n > 100 AS sx, false AS lx, f.close < e.v AS below, f.close > e.v AS above, f.close - lag(f.close) OVER (PARTITION BY f.series ORDER BY f.ts) AS d, f.close < avg(f.close) OVER (PARTITION BY f.series ORDER BY f.ts ROWS 39 PRECEDING) AND n >= 40 AS broken FROM f JOIN e ON e.series = f.series AND e.ts = f.ts),
 t AS (SELECT *, sum(CASE WHEN d < 0 THEN 1 ELSE 0 END) OVER v = 3 AS falls, sum(CASE WHEN d > 0 THEN 1 ELSE 0 END) OVER v = 3 AS rises FROM s WINDOW v AS (PARTITION BY series ORDER BY ts ROWS 2 PRECEDING)),
 m AS (SELECT series, lx, sx, 'opposite_signal_only' AS mode, false AS more FROM t UNION ALL SELECT series, lx, sx, 'continuation_failure', (falls AND NOT lx) OR (rises AND NOT sx) FROM t UNION ALL SELECT series, lx, sx, 'trend_failure', (below AND NOT lx) OR (above AND NOT sx) FROM t UNION ALL SELECT series, lx, sx, 'trend_structure', (broken OR falls) AND NOT lx FROM t)

@@ -108,9 +108,9 @@ def correlations(frame: DataFrame, features: list[str]) -> DataFrame:
 
 
 def closest_partner(r: DataFrame) -> DataFrame:
-    """For each feature the one it correlates with most, and the signed correlation."""
+    """For each feature the one it correlates with most, and the signed correlation; of those alike to nine digits the last by name."""
     both = r.select("series", F.col("a").alias("feature"), F.col("b").alias("partner"), "r").unionByName(r.select("series", F.col("b").alias("feature"), F.col("a").alias("partner"), "r"))
-    best = F.max_by(F.struct("partner", "r"), F.struct(F.abs("r"), F.col("partner")))
+    best = F.max_by(F.struct("partner", "r"), F.struct(F.round(F.abs("r"), 9), F.col("partner")))
     return both.where("r is not null").groupBy("series", "feature").agg(best.alias("m")).select("series", "feature", "m.partner", "m.r")
 
 

@@ -1131,3 +1131,48 @@ gaps AS (SELECT series, first_ts AS gap_start, end_ts AS gap_end FROM k WHERE NO
 ORACLE_SQL["coverage_gaps"] = f"WITH {HOURLY}, {REGULAR}, {GAPS} SELECT series, gap_start, gap_end FROM gaps"
 ORACLE_SQL["funding_status"] = f"""WITH {HOURLY}, {REGULAR}, {GAPS}, h AS (SELECT series, count(*) AS n, min(gap_start) AS first_gap FROM gaps GROUP BY series)
 SELECT k.series, coalesce(h.n, 0) AS gaps, CASE WHEN h.n > 0 THEN 'refused' ELSE 'attached' END AS status, CASE WHEN h.n > 0 THEN 'gap from ' || strftime(first_gap, '%Y-%m-%d %H:%M') ELSE '' END AS reason FROM k LEFT JOIN h USING (series)"""
+
+
+# smaller operators ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {DAILY}, x AS (SELECT series, ts, close, row_number() OVER w AS n, close / lag(close, 26) OVER w - 1 AS r, avg(close) OVER (w ROWS 39 PRECEDING) AS m FROM bars {BY_TIME}) SELECT series, ts, coalesce(r > 0, false) AS rising, n >= 40 AND close > m AS above, coalesce(r < 0, false) AS falling, n >= 40 AND close < m AS below FROM x")
+def filters(spark, sf_dir):
+    """Momentum and trend as filters of entries, and as exits."""
+    return b.daily_bars(spark, sf_dir).select("series", "ts", strategies.momentum_filter(26).alias("rising"), strategies.trend_filter(40).alias("above"), strategies.momentum_exit(26).alias("falling"), strategies.regime_exit(40).alias("below"))
+
+
+@query(f"WITH {ORDERS}, r AS (SELECT series, ts, coalesce(close / lag(close) OVER w - 1, 0) AS r FROM bars {BY_TIME}) SELECT series, ts, round(exp(sum(ln(1 + r)) OVER (PARTITION BY series ORDER BY ts ROWS UNBOUNDED PRECEDING)), 6) AS growth FROM r")
+def compounded_returns(spark, sf_dir):
+    x = b.order_bars(spark, sf_dir).withColumn("r", F.coalesce(k.pct_change(F.col("close")), F.lit(0.0)))
+    return x.select("series", "ts", F.round(k.running_product(F.col("r")), 6).alias("growth"))
+
+
+@query(f"WITH {DAILY}, {CHANNEL} SELECT series, ts, round(CASE WHEN long_entry THEN 10000.0 * 0.95 / close ELSE 0 END, 6) AS shares FROM sig")
+def entry_share_counts(spark, sf_dir):
+    x = channel(spark, sf_dir)
+    return x.select("series", "ts", F.round(ledger.entry_shares(10_000.0, F.lit(0.95), F.col("close"), F.col("long_entry")), 6).alias("shares"))
+
+
+@query(f"WITH {FUNDING}, s AS (SELECT *, epoch_us(settled) // 1000 AS ms FROM funding) SELECT series, count(*) AS settlements, CAST(count_if(ms % 5 = 0) AS BIGINT) AS corrected, round(sum(CASE WHEN ms % 5 = 0 THEN rate + 1 ELSE rate END), 6) AS rates FROM s GROUP BY series")
+def upsert_funding(spark, sf_dir):
+    """Stored settlements with a newer batch that corrects some of them: one row for each series and instant, the newer one."""
+    x = b.settlements(spark, sf_dir).groupBy("series", "settled").agg(F.max("rate").alias("rate")).withColumn("updated_at", F.lit(1))
+    new = x.where(F.unix_millis("settled") % 5 == 0).withColumns({"rate": F.col("rate") + 1, "updated_at": F.lit(2)})
+    out = b.upsert(x, new, ("series", "settled"))
+    return out.groupBy("series").agg(F.count("*").alias("settlements"), F.count_if(F.col("updated_at") == 2).alias("corrected"), F.round(F.sum("rate"), 6).alias("rates"))
+
+
+@query(f"WITH {DAILY} SELECT series, CAST(503 + 8 * (2 + 2 + 2 + 4 + 3 + 2) AS INTEGER) AS warmup, greatest(count(*) - (503 + 8 * (2 + 2 + 2 + 4 + 3 + 2)), 0) AS usable, count(*) AS bars FROM bars GROUP BY series")
+def lifecycle_warmup(spark, sf_dir):
+    """Bars of each series before and after the warmup that the features' windows and the lifecycle's memory give."""
+    warmup = features.derived_warmup(LOOSE.convergence_bars, 96)
+    x = b.daily_bars(spark, sf_dir).withColumn("n", F.row_number().over(k.series_window()))
+    return x.groupBy("series").agg(F.lit(warmup).alias("warmup"), F.count_if(F.col("n") > warmup).alias("usable"), F.count("*").alias("bars"))
+
+
+@query()
+def redundant_pairs(spark, sf_dir):
+    """Pairs of features that correlate by nine tenths or more, with the sign."""
+    x = studies.redundant_pairs(studies.correlations(frame(spark, sf_dir), list(ROUNDED)), 0.9)
+    return rounded(x, "r", digits=4)

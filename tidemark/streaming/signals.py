@@ -1,4 +1,4 @@
-"""Bars, signals and reasons as streams with bounded state for each series.
+"""Bars, one signal rule, a level and the lifecycle as streams with bounded state; engine.py runs all generators.
 
 The state of a series is what its newest bar needs (a few previous bars, running means, where the lifecycle stands), so the
 work for a bar doesn't grow with the history. Late bars are dropped and counted, a repeated newest bar replaces the last one and
@@ -35,11 +35,6 @@ def snapshot_stream(bars: DataFrame, width_ms: int, delay: str = "0 seconds") ->
     return x.groupBy("ts_close").agg(F.sort_array(F.collect_list(F.struct("series", "close"))).alias("bars"), F.count("*").alias("present"))
 
 
-def closed_only(bars: DataFrame, width_ms: int, now) -> DataFrame:
-    """Bars that have closed by `now`; the newest may still be forming."""
-    return bars.where(F.unix_millis("ts") + width_ms <= F.unix_millis(now))
-
-
 def without_repeats(bars: DataFrame, delay: str = "1 day") -> DataFrame:
     """Exact repeats of a bar are dropped while the watermark still covers it; a revision has another hash and passes."""
     x = bars.withColumn("_hash", F.xxhash64("open", "high", "low", "close", "volume")).withWatermark("ts", delay)

@@ -288,28 +288,28 @@ def covered_bars(bars: DataFrame, funding: DataFrame, width_ms: int, ends: DataF
     return x.groupBy("series").transformWithStateInPandas(CoverageProcessor(width_ms), "series string, ts timestamp, close double, settled timestamp, rate double, late long", "append", "None")
 
 
-def epoch_sink(path: str, key: list[str], time: str = "ts"):
+def epoch_sink(path: str, key: list[str], time: str = "ts", period: str = "month"):
     """foreachBatch function of an append-only sink that adds each key once, however often an epoch is replayed.
 
-    Rows are kept by the day of their time and by epoch. A batch meets only the stored keys of its own days and of earlier
+    Rows are kept by the period of their time and by epoch. A batch meets only the stored keys of its own periods and of earlier
     epochs, so what it reads doesn't grow with the sink, and an epoch that is run again writes over its own files. Of rows that
     repeat a key within a batch the first in the order of all columns stays.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        x = batch.withColumn("_day", F.to_date(time)).withColumn("_epoch", F.lit(epoch))
+        x = batch.withColumn("_period", F.to_date(F.date_trunc(period, time))).withColumn("_epoch", F.lit(epoch))
         order = [F.col(c).cast("string") if t.startswith(("map", "struct")) else F.col(c) for c, t in batch.dtypes]
         x = x.withColumn("_first", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("_first = 1").drop("_first")
         x = x.persist()
         try:
-            days = [r[0] for r in x.select("_day").distinct().collect()]  # of one micro-batch
+            periods = [r[0] for r in x.select("_period").distinct().collect()]  # of one micro-batch
             if stored(spark, path):
-                old = spark.read.schema(x.schema).parquet(path).where(F.col("_day").isin(days) & (F.col("_epoch") < epoch)).select(*key)
+                old = spark.read.schema(x.schema).parquet(path).where(F.col("_period").isin(periods) & (F.col("_epoch") < epoch)).select(*key)
                 x_new = x.join(old.hint("shuffle_hash"), key, "left_anti")
             else:
                 x_new = x
-            x_new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_day", "_epoch").parquet(path)
+            x_new.repartition("_period").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_period", "_epoch").parquet(path)
         finally:
             x.unpersist()
 

@@ -127,3 +127,34 @@ SELECT series, multiple, round(gross / 10000.0, 4) AS gross_return, round(fees,
     "reason_diff": f"""WITH {WIDE}, a AS (SELECT series, ts, unnest(['strength', 'energy']) AS name, unnest([strength, energy]) AS x FROM wide), b AS (SELECT series, ts, name, CASE WHEN name = 'strength' AND day(ts) = 3 THEN x + 0.5 ELSE x END AS y FROM a WHERE year(ts) <> 1997)
 SELECT a.series, a.name, CASE WHEN b.series IS NULL THEN 'only in a' ELSE 'value' END AS difference, count(*) AS bars FROM a LEFT JOIN b ON a.series = b.series AND a.ts = b.ts AND a.name = b.name WHERE b.series IS NULL OR (x IS NOT NULL AND abs(x - y) > 1e-9) GROUP BY ALL""",
 }
+
+# parameter surfaces -----------------------------------------------------------------------------------------------------------
+
+CELLS = [(i, e, x) for i, (e, x) in enumerate((e, x) for e in (20, 40, 80) for x in (10, 20, 40))]
+_EDGES = ", ".join(f"CASE WHEN n > {k} THEN max(high) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING) END AS hi{k}, CASE WHEN n > {k} THEN min(low) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING) END AS lo{k}" for k in (10, 20, 40, 80))
+_FLAGS = " UNION ALL ".join(f"SELECT series || '|{i}|{e}|{x}' AS series, ts, close, n, coalesce(close > hi{e}, false) AS long_entry, coalesce(close < lo{x}, false) AS long_exit, coalesce(close < lo{e}, false) AS short_entry, coalesce(close > hi{x}, false) AS short_exit FROM edges" for i, e, x in CELLS)
+_NAMES = "split_part(series, '|', 1) AS series, CAST(split_part(series, '|', 2) AS INTEGER) AS cell, CAST(split_part(series, '|', 3) AS INTEGER) AS entry, CAST(split_part(series, '|', 4) AS INTEGER) AS leave"
+#: Returns of all nine cells of the channel rule, a series named by its cell, and its evaluation after 80 bars.
+SURFACE = f"""{DAILY}, edges AS (SELECT *, {_EDGES} FROM (SELECT *, row_number() OVER {W} AS n FROM bars)), sig AS ({_FLAGS}), {RESOLVED}, {POSITION},
+lagged AS (SELECT series, ts, n, close, coalesce(lag(held) OVER {W}, 0) AS position, close / lag(close) OVER {W} - 1 AS change FROM pos),
+ret AS MATERIALIZED (SELECT *, coalesce(change * position, 0) AS ret, coalesce(position <> lag(position) OVER {W}, false) AS moved FROM lagged)"""
+POINTS = f"""{SURFACE}, grown AS (SELECT *, CASE WHEN max(CAST(ret <= -1 AS INT)) OVER u = 1 THEN 0 ELSE exp(sum(ln(1 + greatest(ret, -0.999999999999))) OVER u) END AS equity FROM ret WHERE n > 80 WINDOW u AS (PARTITION BY series ORDER BY ts ROWS UNBOUNDED PRECEDING)),
+fallen AS (SELECT *, equity / greatest(max(equity) OVER (PARTITION BY series ORDER BY ts ROWS UNBOUNDED PRECEDING), 1) - 1 AS drawdown FROM grown),
+points AS (SELECT {_NAMES}, arg_max(equity, ts) - 1 AS total_return, CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) * sqrt(365.0) ELSE 0 END AS sharpe, min(drawdown) AS max_drawdown, CAST(count_if(moved) AS BIGINT) AS trades, count(*) AS bars FROM fallen GROUP BY fallen.series)"""
+_SHARPE = "CASE WHEN {q} - {s} * {s} / {n} > 1e-18 THEN {s} / {n} / sqrt(({q} - {s} * {s} / {n}) / ({n} - 1)) * sqrt(365.0) ELSE 0 END"
+FOLDS = f"""{SURFACE}, sums AS (SELECT series, CASE WHEN n <= 600 THEN -1 ELSE (n - 601) // 300 END AS fold, count(*) AS n, sum(ret) AS s, sum(ret * ret) AS q, sum(ln(CASE WHEN ret > -1 THEN 1 + ret END)) AS g FROM ret GROUP BY ALL),
+before AS (SELECT *, sum(n) OVER b AS bn, sum(s) OVER b AS bs, sum(q) OVER b AS bq FROM sums WINDOW b AS (PARTITION BY series ORDER BY fold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+scored AS (SELECT {_NAMES}, fold, n, g, {_SHARPE.format(n='bn', s='bs', q='bq')} AS train_sharpe, {_SHARPE.format(n='n', s='s', q='q')} AS test_sharpe FROM before WHERE fold >= 0),
+folds AS (SELECT series, CAST(fold AS INTEGER) AS fold, cell, train_sharpe, test_sharpe, n AS bars, exp(g) - 1 AS test_return FROM (SELECT *, row_number() OVER (PARTITION BY series, fold ORDER BY train_sharpe DESC, cell) AS k FROM scored) WHERE k = 1)"""
+
+ORACLE_SQL |= {
+    "parameter_surface": f"WITH {POINTS} SELECT series, cell, entry, leave, round(total_return, 6) AS total_return, round(sharpe, 6) AS sharpe, round(max_drawdown, 6) AS max_drawdown, trades, bars FROM points",
+    "stability_score": f"""WITH {POINTS}, s AS (SELECT series, count(*) AS cells, avg(sharpe) * avg(CAST(sharpe > 0 AS INT)) / (1 + stddev_pop(sharpe)) AS stability FROM points GROUP BY series), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY sharpe DESC, cell) AS k FROM points) WHERE k = 1)
+SELECT series, cells, round(stability, 6) AS stability, cell, entry, leave, round(sharpe, 6) AS sharpe, round(total_return, 6) AS total_return FROM s JOIN b USING (series)""",
+    "surface_heat_map": f"WITH {POINTS} SELECT series, entry, {', '.join(f'round(max(CASE WHEN leave = {x} THEN sharpe END), 6) AS leave_{x}' for x in (10, 20, 40))} FROM points GROUP BY series, entry",
+    "walk_forward": f"WITH {FOLDS} SELECT series, fold, cell, round(train_sharpe, 6) AS train_sharpe, round(test_sharpe, 6) AS test_sharpe, bars, round(test_return, 6) AS test_return FROM folds",
+    "walk_forward_summary": f"WITH {FOLDS} SELECT series, count(*) AS folds, count(DISTINCT cell) AS winners, round(exp(sum(ln(1 + test_return))) - 1, 6) AS oos_return, round(avg(test_sharpe), 6) AS mean_test_sharpe FROM folds GROUP BY series",
+    "perturbation": f"""WITH {SURFACE}, parts AS (SELECT *, ts < TIMESTAMP '1999-01-01' AS train FROM ret), ev AS (SELECT {_NAMES}, train, CASE WHEN stddev_samp(ret) > 0 THEN avg(ret) / stddev_samp(ret) * sqrt(365.0) ELSE 0 END AS sharpe FROM parts WHERE NOT train OR n > 80 GROUP BY parts.series, train),
+r AS (SELECT *, dense_rank() OVER (PARTITION BY series ORDER BY entry) AS i, dense_rank() OVER (PARTITION BY series ORDER BY leave) AS j FROM ev WHERE train), w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY sharpe DESC, cell) AS k FROM r) WHERE k = 1)
+SELECT r.series, r.cell, r.entry, r.leave, round(r.sharpe, 6) AS train_sharpe, round(t.sharpe, 6) AS test_sharpe FROM r JOIN w ON w.series = r.series AND abs(r.i - w.i) + abs(r.j - w.j) <= 1 JOIN ev t ON t.series = r.series AND t.cell = r.cell AND NOT t.train""",
+}

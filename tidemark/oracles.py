@@ -158,3 +158,6 @@ SELECT series, cells, round(stability, 6) AS stability, cell, entry, leave, roun
 r AS (SELECT *, dense_rank() OVER (PARTITION BY series ORDER BY entry) AS i, dense_rank() OVER (PARTITION BY series ORDER BY leave) AS j FROM ev WHERE train), w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY sharpe DESC, cell) AS k FROM r) WHERE k = 1)
 SELECT r.series, r.cell, r.entry, r.leave, round(r.sharpe, 6) AS train_sharpe, round(t.sharpe, 6) AS test_sharpe FROM r JOIN w ON w.series = r.series AND abs(r.i - w.i) + abs(r.j - w.j) <= 1 JOIN ev t ON t.series = r.series AND t.cell = r.cell AND NOT t.train""",
 }
+_NEUTRAL = " UNION ALL ".join(f"SELECT series || '|{d}' AS series, ts, n, direction, {', '.join(f'CASE WHEN {c} IS NOT NULL THEN 0.5 END AS {c}' if c == d else c for c in ('strength', 'stability', 'energy'))} FROM machine" for d in ("", "strength", "stability", "energy"))
+ORACLE_SQL["feature_dropout"] = f"""WITH RECURSIVE {FRAME}, dropped AS MATERIALIZED ({_NEUTRAL}), {walk_sql('dropped', 'dropped_states', 'dropped_walk')}
+SELECT split_part(series, '|', 1) AS series, split_part(series, '|', 2) AS dropped, state, count(*) AS bars, round(count(*) / sum(count(*)) OVER (PARTITION BY dropped_states.series), 6) AS share FROM dropped_states GROUP BY dropped_states.series, state"""

@@ -59,3 +59,12 @@ def test_query_runs(spark, sf_dir, name):
 def test_streamed_states_equal_the_batch(spark, sf_dir):
     a, b = (queries.QUERIES[n](spark, sf_dir) for n in ("streamed_lifecycle", "lifecycle_states"))
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_best_cell_of_equal_sharpe_ratios_is_the_first(spark):
+    """Sums of the same returns in another order differ in the last digit; that is a tie."""
+    from tidemark.plans import studies
+
+    pdf = pd.DataFrame({"series": ["a", "a", "a", "b", "b"], "cell": [6, 7, 8, 1, 2], "entry": 80, "leave": [10, 20, 40, 10, 20], "sharpe": [1.2094, 1.2645468251269218, 1.2645468251269225, -0.5, -0.4], "total_return": 0.1})
+    got = studies.best_cell(spark.createDataFrame(pdf)).toPandas().set_index("series")["cell"]
+    assert got.to_dict() == {"a": 7, "b": 2}

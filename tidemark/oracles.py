@@ -149,7 +149,7 @@ folds AS (SELECT series, CAST(fold AS INTEGER) AS fold, cell, train_sharpe, test
 
 ORACLE_SQL |= {
     "parameter_surface": f"WITH {POINTS} SELECT series, cell, entry, leave, round(total_return, 6) AS total_return, round(sharpe, 6) AS sharpe, round(max_drawdown, 6) AS max_drawdown, trades, bars FROM points",
-    "stability_score": f"""WITH {POINTS}, s AS (SELECT series, count(*) AS cells, avg(sharpe) * avg(CAST(sharpe > 0 AS INT)) / (1 + stddev_pop(sharpe)) AS stability FROM points GROUP BY series), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY sharpe DESC, cell) AS k FROM points) WHERE k = 1)
+    "stability_score": f"""WITH {POINTS}, s AS (SELECT series, count(*) AS cells, avg(sharpe) * avg(CAST(sharpe > 0 AS INT)) / (1 + stddev_pop(sharpe)) AS stability FROM points GROUP BY series), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY round(sharpe, 9) DESC, cell) AS k FROM points) WHERE k = 1)
 SELECT series, cells, round(stability, 6) AS stability, cell, entry, leave, round(sharpe, 6) AS sharpe, round(total_return, 6) AS total_return FROM s JOIN b USING (series)""",
     "surface_heat_map": f"WITH {POINTS} SELECT series, entry, {', '.join(f'round(max(CASE WHEN leave = {x} THEN sharpe END), 6) AS leave_{x}' for x in (10, 20, 40))} FROM points GROUP BY series, entry",
     "walk_forward": f"WITH {FOLDS} SELECT series, fold, cell, round(train_sharpe, 6) AS train_sharpe, round(test_sharpe, 6) AS test_sharpe, bars, round(test_return, 6) AS test_return FROM folds",

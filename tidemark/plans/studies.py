@@ -239,7 +239,8 @@ def stability_score(points: DataFrame) -> DataFrame:
 
 
 def best_cell(points: DataFrame) -> DataFrame:
-    best = F.max_by(F.struct("cell", "entry", "leave", "sharpe", "total_return"), F.struct("sharpe", -F.col("cell")))
+    """The cell of the highest Sharpe ratio; ratios that agree to nine digits tie, since cells of the same trades sum the same returns in any order, and the first such cell counts."""
+    best = F.max_by(F.struct("cell", "entry", "leave", "sharpe", "total_return"), F.struct(F.round("sharpe", 9), -F.col("cell")))
     return points.groupBy("series").agg(best.alias("b")).select("series", "b.*")
 
 

@@ -1154,13 +1154,16 @@ def entry_share_counts(spark, sf_dir):
     return x.select("series", "ts", F.round(ledger.entry_shares(10_000.0, F.lit(0.95), F.col("close"), F.col("long_entry")), 6).alias("shares"))
 
 
-@query(f"WITH {FUNDING}, s AS (SELECT *, epoch_us(settled) // 1000 AS ms FROM funding) SELECT series, count(*) AS settlements, CAST(count_if(ms % 5 = 0) AS BIGINT) AS corrected, round(sum(CASE WHEN ms % 5 = 0 THEN rate + 1 ELSE rate END), 6) AS rates FROM s GROUP BY series")
+@query(f"WITH {FUNDING}, s AS (SELECT series, epoch_us(settled) // 1000 AS ms, max(rate) AS rate FROM funding GROUP BY series, settled) SELECT series, count(*) AS settlements, CAST(count_if(ms % 5 = 0) AS BIGINT) AS corrected, CAST(round(sum(CAST(CASE WHEN ms % 5 = 0 THEN rate + 1 ELSE rate END AS DECIMAL(18, 9))), 6) AS DOUBLE) AS rates FROM s GROUP BY series")
 def upsert_funding(spark, sf_dir):
-    """Stored settlements with a newer batch that corrects some of them: one row for each series and instant, the newer one."""
+    """Stored settlements with a newer batch that corrects some of them: one row for each series and instant, the newer one.
+
+    Of stored settlements of one instant the highest rate stands. Rates have seven digits and are summed as decimals, so the sixth one rounds alike in any order.
+    """
     x = b.settlements(spark, sf_dir).groupBy("series", "settled").agg(F.max("rate").alias("rate")).withColumn("updated_at", F.lit(1))
     new = x.where(F.unix_millis("settled") % 5 == 0).withColumns({"rate": F.col("rate") + 1, "updated_at": F.lit(2)})
     out = b.upsert(x, new, ("series", "settled"))
-    return out.groupBy("series").agg(F.count("*").alias("settlements"), F.count_if(F.col("updated_at") == 2).alias("corrected"), F.round(F.sum("rate"), 6).alias("rates"))
+    return out.groupBy("series").agg(F.count("*").alias("settlements"), F.count_if(F.col("updated_at") == 2).alias("corrected"), F.round(F.sum(F.col("rate").cast("decimal(18, 9)")), 6).cast("double").alias("rates"))
 
 
 @query(f"WITH {DAILY} SELECT series, CAST(503 + 8 * (2 + 2 + 2 + 4 + 3 + 2) AS INTEGER) AS warmup, greatest(count(*) - (503 + 8 * (2 + 2 + 2 + 4 + 3 + 2)), 0) AS usable, count(*) AS bars FROM bars GROUP BY series")

@@ -252,7 +252,7 @@ class CoverageProcessor(StatefulProcessor):
         bars, rates = sorted(map(tuple, self.bars.get())), sorted(map(tuple, self.rates.get()))
         new = [(int(t), float(v)) for t, v, b in zip(us, pdf["value"], kind) if b == 0]
         late += sum(t <= done for t, _ in new)
-        bars = sorted(bars + [b for b in new if b[0] > done])
+        bars = sorted(dict(bars + [b for b in new if b[0] > done]).items())  # a bar that comes twice counts with its later row
         rates = sorted(rates + [(int(t), float(v)) for t, v, b in zip(us, pdf["value"], kind) if b == 1 and v == v])
         frontier = (1 << 62) if (kind == 2).any() else max([frontier, *us[kind == 1].tolist()])
         width = 1000 * self.width_ms
@@ -291,6 +291,7 @@ def covered_bars(bars: DataFrame, funding: DataFrame, width_ms: int, ends: DataF
 def epoch_sink(path: str, key: list[str], time: str = "ts", period: str = "month"):
     """foreachBatch function of an append-only sink that adds each key once, however often an epoch is replayed.
 
+    Without a key all rows of an epoch are kept: a stream that emits each row once may have rows that are alike.
     Rows are kept by the period of their time and by epoch. A batch meets only the stored keys of its own periods and of earlier
     epochs, so what it reads doesn't grow with the sink, and an epoch that is run again writes over its own files. Of rows that
     repeat a key within a batch the first in the order of all columns stays.
@@ -300,11 +301,12 @@ def epoch_sink(path: str, key: list[str], time: str = "ts", period: str = "month
         spark = batch.sparkSession
         x = batch.withColumn("_period", F.to_date(F.date_trunc(period, time))).withColumn("_epoch", F.lit(epoch))
         order = [F.col(c).cast("string") if t.startswith(("map", "struct")) else F.col(c) for c, t in batch.dtypes]
-        x = x.withColumn("_first", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("_first = 1").drop("_first")
+        if key:
+            x = x.withColumn("_first", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("_first = 1").drop("_first")
         x = x.persist()
         try:
             periods = [r[0] for r in x.select("_period").distinct().collect()]  # of one micro-batch
-            if stored(spark, path):
+            if key and stored(spark, path):
                 old = spark.read.schema(x.schema).parquet(path).where(F.col("_period").isin(periods) & (F.col("_epoch") < epoch)).select(*key)
                 x_new = x.join(old.hint("shuffle_hash"), key, "left_anti")
             else:

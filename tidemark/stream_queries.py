@@ -181,6 +181,13 @@ def streamed_covered_bars(spark, sf_dir):
     return engine.run_all(joined, sink, state, []).drop("late")
 
 
+@query(f"WITH {HOURLY}, {FUNDING} SELECT b.series, b.ts, close, settled, coalesce(rate, 0.0) AS rate FROM bars b LEFT JOIN funding f ON b.series = f.series AND settled >= b.ts AND settled < b.ts + INTERVAL 1 HOUR")
+def streamed_funding_join(spark, sf_dir):
+    """Bars joined to settlements, stream to stream, each bar held back until the settlements' watermark is past it; what the watermark has passed leaves the state."""
+    bars, funding = in_slices(spark, b.hourly_bars(spark, sf_dir)), in_slices(spark, b.settlements(spark, sf_dir).select("series", F.col("settled").alias("ts"), "rate"))
+    return ran(spark, signals.withheld_until_funded(bars, funding.select("series", F.col("ts").alias("settled"), "rate")), [])  # the join emits each pair once
+
+
 @query(sides_sql(["tsmom"]))
 def streamed_sink_twice(spark, sf_dir):
     """A stream that is run again from the start over the same sink adds nothing to it."""

@@ -42,10 +42,19 @@ def without_repeats(bars: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def withheld_until_funded(bars: DataFrame, funding: DataFrame, width: str = "1 hour", delay: str = "1 day") -> DataFrame:
-    """Bars of a width joined to the settlements inside them (stream to stream); a bar waits until the settlements' watermark is past it."""
-    b = bars.withWatermark("ts", delay).alias("b")
-    f = funding.select(F.col("series").alias("f_series"), "settled", "rate").withWatermark("settled", delay).alias("f")
-    on = F.expr(f"series = f_series AND settled >= ts AND settled < ts + INTERVAL {width}")
+    """Bars of a width joined to the settlements inside them (stream to stream); a bar waits until the settlements' watermark is past it.
+
+    They meet by series and stretch of four widths, so a bar looks at the settlements near it only, in as many tasks as there
+    are stretches. A settlement in the first width of its stretch may belong to a bar that opens in the one before: it is sent to both.
+    """
+    us = F.expr(f"unix_micros(timestamp_micros(0) + INTERVAL {width})")
+    into = lambda c: F.pmod(F.unix_micros(c), 4 * us)
+    stretch = lambda c: ((F.unix_micros(c) - into(c)) / (4 * us)).cast("long")
+    b = bars.withWatermark("ts", delay).withColumn("stretch", stretch(F.col("ts"))).alias("b")
+    f = funding.select(F.col("series").alias("f_series"), "settled", "rate").withWatermark("settled", delay)
+    at, early = stretch(F.col("settled")), into(F.col("settled")) < us
+    f = f.withColumn("f_stretch", F.explode(F.when(early, F.array(at, at - 1)).otherwise(F.array(at)))).alias("f")
+    on = F.expr(f"series = f_series AND stretch = f_stretch AND settled >= ts AND settled < ts + INTERVAL {width}")
     return b.join(f, on, "left_outer").select("series", "ts", "close", "settled", F.coalesce("rate", F.lit(0.0)).alias("rate"))
 
 

@@ -163,3 +163,20 @@ def test_short_texts_have_at_most_one_shingle(text):
 
     doc, hashes, counts = neardup.words(pa.array([text]), lower=True)
     assert len(neardup.shingles(doc, hashes, counts)[0]) == min(1, len(text.split()))
+
+
+@pytest.mark.parametrize("cells", [3, 1 << 12])
+def test_the_exact_finish_needs_no_counts_by_element(spark, monkeypatch, cells):
+    """Elements go out for the prefixes alone, and whatever cells they fall into, all similar pairs of different roots are found."""
+    monkeypatch.setattr(neardup, "CELLS", cells)
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    bags = [np.sort(np.concatenate([rng.choice(base, 50 + i % 9, replace=False), rng.integers(0, 2**63, i % 5, dtype=np.uint64)])) for i in range(80)]
+    rows = spark.createDataFrame([(i, i // 20) for i in range(80)], "node long, root long")
+    bag = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(bags)], "node long, bag binary")
+    first = neardup.prefixes(bag.join(rows, "node").select("node", "bag", "root"), neardup.cell_counts(bag), 0.8)
+    assert first.count() == sum(len(x) - int(np.ceil(0.8 * len(x) - 1e-6)) + 1 for x in bags)
+    got = {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in neardup.apart(rows, bag, 0.8).collect()}
+    shared = {(i, j): len(np.intersect1d(bags[i], bags[j])) for i in range(80) for j in range(i) if i // 20 != j // 20}
+    want = {(j, i) for (i, j), n in shared.items() if n >= 0.8 * (len(bags[i]) + len(bags[j]) - n)}
+    assert len(want) > 50 and want <= got

@@ -39,6 +39,8 @@ BROADCAST_NODES = 1_000_000
 
 #: Nodes of one shingle that are held at once when its nodes are compared with one another.
 BLOCK = 1024
+#: Cells of the counts by which elements are put in order; the driver gets so many numbers at most (8 MB) and sends them to all tasks.
+CELLS = 1 << 20
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -256,18 +258,51 @@ def likely_mates(rows: DataFrame, r: int) -> DataFrame:
     return rows.select("bucket", part.alias("_part"), "node", "root", "sig").groupBy("bucket", "_part").applyInArrow(best, "a long, b long")
 
 
-def shared_shingles(bag: DataFrame) -> DataFrame:
-    """token, node for each element of each node's bag."""
+def cells(elements: np.ndarray, size: int) -> np.ndarray:
+    """Cell of each element in a table of so many counts."""
+    return (mix(elements.view(np.uint64)) % np.uint64(size)).astype(np.int64)
+
+
+def cell_counts(bag: DataFrame) -> np.ndarray:
+    """How many elements of all bags fall into each of CELLS cells: of one size, however many bags there are."""
+    size = CELLS
+
+    def count(batches):
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for at in range(0, len(batch), 200):
+                total += np.bincount(cells(np.frombuffer(b"".join(batch.slice(at, 200).column(0).to_pylist()), dtype=np.int64), size), minlength=size)
+        cell = np.flatnonzero(total)
+        for at in range(0, len(cell), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(cell[at : at + 10_000]), pa.array(total[cell[at : at + 10_000]])], names=["cell", "n"])
+
+    found = bag.select("bag").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size, np.int64)
+    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def prefixes(bag: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
+    """token, node, root, n and place of the first elements of each bag, those of the least counts of their cells."""
+    spread = bag.sparkSession.sparkContext.broadcast(counts)
 
     def make(batches):
+        held = spread.value
         for batch in batches:
             for at in range(0, len(batch), 200):
                 part = batch.slice(at, 200)
-                bags = part.column(1).to_pylist()
-                node = np.repeat(part.column(0).to_numpy(), [len(x) // 8 for x in bags])
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(bags), dtype=np.int64)), pa.array(node)], names=["token", "node"])
+                bags = part.column(2).to_pylist()
+                n = np.array([len(x) // 8 for x in bags], dtype=np.int64)
+                owner, token = np.repeat(np.arange(len(part)), n), np.frombuffer(b"".join(bags), dtype=np.int64)
+                order = np.lexsort((token, held[cells(token, len(held))], owner))
+                owner, token = owner[order], token[order]
+                place = np.arange(len(token)) - (np.cumsum(n) - n)[owner] + 1
+                first = place <= (n - np.ceil(similarity * n - 1e-6).astype(np.int64) + 1)[owner]
+                owner, token, place = owner[first], token[first], place[first]
+                node, root = (part.column(k).to_numpy()[owner] for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token, node, root, n[owner], place)], names=["token", "node", "root", "n", "place"])
 
-    return bag.select("node", "bag").mapInArrow(make, "token long, node long")
+    return bag.select("node", "root", "bag").mapInArrow(make, "token long, node long, root long, n long, place long")
 
 
 def apart(rows: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
@@ -275,17 +310,12 @@ def apart(rows: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
 
     a lies outside the largest component that the pair's element has.
 
-    Elements are ordered by the number of nodes that hold them, rarest first. The first common element of a similar pair is
-    then among the first n - ceil(similarity n) + 1 of the larger bag and n - ceil(2 similarity / (1 + similarity) n) + 1
-    of the smaller one. Elements that one node alone has only take places.
+    Elements are in one order for all bags, those of rare cells first. The first common element of a similar pair is then
+    among the first n - ceil(similarity n) + 1 of the larger bag and n - ceil(2 similarity / (1 + similarity) n) + 1 of the
+    smaller one. That holds in any order: counts by cell, in place of a join with counts by element, only say which are rare.
     """
-    own = written(bag.join(rows.hint("merge"), "node").select("node", "bag", "root", (F.length("bag") / 8).cast("long").alias("n")), "unresolved")
-    each = shared_shingles(own)
-    held = written(each.groupBy("token").agg(F.count("*").alias("copies")).where("copies > 1"), "held")
-    ranked = met(each, held, "token", own.agg(F.sum("n")).first()[0] or 0).withColumnRenamed("copies", "held").join(own.select("node", "root", "n").hint("merge"), "node")
-    by = Window.partitionBy("node")
-    ranked = ranked.withColumn("place", F.col("n") - F.count("*").over(by) + F.row_number().over(by.orderBy("held", "token")))
-    first = written(ranked.where(F.col("place") <= F.col("n") - F.ceil(similarity * F.col("n") - 1e-6) + 1).select("token", "node", "root", "n", "place"), "prefixes")
+    own = written(bag.join(rows.hint("merge"), "node").select("node", "bag", "root"), "unresolved")
+    first = written(prefixes(own, cell_counts(own), similarity), "prefixes")
     # each token's largest component is not compared with itself
     roots = first.groupBy("token", "root").agg(F.count("*").alias("size")).groupBy("token").agg(F.max_by("root", "size").alias("main"), F.sum("size").alias("all"), F.count("*").alias("roots"))
     post = first.join(roots.where("roots > 1").select("token", "main", F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks")).hint("merge"), "token")
@@ -301,7 +331,7 @@ def apart(rows: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
         part = x.join(y.hint("merge"), ["token", "block"]).where(fits).select(F.col(a).alias("a"), F.col(b).alias("b"))
         close = part if close is None else close.union(part)
     close = written(close.groupBy("a", "b").agg(F.count("*").alias("shared")), "close")
-    for x in (own, held, first, post):
+    for x in (own, first, post):
         discard(x)
     return close
 

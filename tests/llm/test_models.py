@@ -1,12 +1,15 @@
 import math
 import re
+import time
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tidemark.llm import maxent_lm, toxicity
+from tidemark.llm import common, maxent_lm, toxicity
 
 
 def lowered(t):
@@ -76,6 +79,83 @@ def test_next_words_sum_to_one():
         assert np.allclose(total, 1, atol=1e-4), total
 
 
+def plain_steps(code, cut, weights, bias, size):
+    """maxent_lm.block_steps with fancy indexing and np.add.reduceat."""
+    m, w = maxent_lm, np.vstack([weights, bias[None]])
+    scale = np.full(len(w), 1e-2, np.float32)
+    for lo, hi, _, target, rows in m.histories(code, cut, size, m.STEP_TOKENS):
+        x = np.exp(np.minimum(w[rows[0]] + w[rows[1]] + w[rows[2]] + w[rows[3]] + w[-1], 60))
+        x *= (-1 / x.sum(1))[:, None]
+        x[np.arange(hi - lo), target] += 1
+        for r in [*rows, np.full(hi - lo, len(w) - 1)]:
+            order = np.argsort(r, kind="stable")
+            own = r[order]
+            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            total = np.add.reduceat(x[order], first)
+            scale[own[first]] += (total * total).mean(-1)
+            w[own[first]] += m.RATE * total / np.sqrt(scale[own[first]])[:, None]
+    return w, np.flatnonzero(scale > 1e-2)
+
+
+def seconds(run):
+    times = []
+    for _ in range(3):
+        begin = time.thread_time()
+        out = run()
+        times.append(time.thread_time() - begin)
+    return min(times), out
+
+
+def test_gradient_steps_are_those_of_plain_sums_in_less_time():
+    rng, m, size = np.random.default_rng(3), maxent_lm, 1 << 13
+    n = 3 * m.STEP_TOKENS + 77
+    word = (50_000 ** rng.random(n)).astype(np.uint32)  # as often as their ranks say
+    code = word % m.CLASSES | (word % 7 == 0).astype(np.uint32) << 7 | (word * 40503 & 0xFFFF) << 8 | rng.integers(0, 2 * m.GROUPS + 1, n).astype(np.uint32) << 24
+    code, cut = code.astype(np.uint32), np.append(np.arange(0, n, 90), n)
+    weights, bias = rng.normal(0, 0.1, (3 * size + 2 * m.GROUPS + 1, m.CLASSES)).astype(np.float32), rng.normal(0, 1, m.CLASSES).astype(np.float32)
+    plain, (w, moved) = seconds(lambda: plain_steps(code, cut, weights, bias, size))
+    own, (v, also) = seconds(lambda: m.block_steps(code, cut, weights, bias, size))
+    assert np.allclose(v, w, atol=1e-3) and (moved == also).all()
+    assert own < 0.75 * plain, (own, plain)
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 8, 9, 65, 3000])
+def test_segment_sums(n):
+    rng = np.random.default_rng(n)
+    x, at = rng.normal(size=(max(n, 1), 3)), rng.permutation(n)
+    first = np.unique(np.append(rng.integers(0, max(n, 1), n // 9), 0))[: max(n, 0)]
+    want = np.array([x[p].sum(0) for p in np.split(at, first[1:])]) if n else np.zeros((0, 3))
+    assert np.allclose(maxent_lm.segment_sums(x, at, first), want)
+
+
+def test_terms_of_a_text_are_the_sums_of_its_tokens():
+    rng = np.random.default_rng(1)
+    cut = np.cumsum([0, 1, 16, 17, 200, 1, 33])
+    which = np.minimum(rng.zipf(1.3, cut[-1]), 60) - 1
+    doc, cls, share = np.repeat(np.arange(6), np.diff(cut)), which % 5, np.full(cut[-1], 1e-12)
+    share[which > 3] = 0.02
+    assert np.allclose(maxent_lm.word_terms(which, doc, cls, share, cut=cut), np.add.reduceat(maxent_lm.word_terms(which, doc, cls, share), cut[:-1]), rtol=1e-12)
+
+
+def test_word_hashes_are_those_of_each_word_alone_in_bounded_memory():
+    base, most = common._BASE, (1 << 64) - 1
+    texts = ["Ab\x0bc", None, "", "x " * 40_000 + "END", "w" * (common.HASH_BYTES + 9) + " y", "é🙂 Ünï"]
+    doc, got, _ = common.words(pa.array(texts), lower=True)
+    words = [(i, w) for i, t in enumerate(texts) for w in re.findall(rb"[^\x20\x09-\x0D]+", lowered(t).encode())]
+    assert doc.tolist() == [i for i, _ in words]
+    for w, h in {w: h for (_, w), h in zip(words, got)}.items():
+        total, power = 0, 1
+        for byte in w:
+            total, power = total + int(common._BYTE_KEYS[byte]) * power & most, power * base & most
+        assert common.mix(np.array([total], np.uint64))[0] == h
+    text = pa.array(["some words of a text " * 100] * 1000)
+    tracemalloc.start()
+    maxent_lm.token_hashes(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * text.nbytes
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

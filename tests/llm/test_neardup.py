@@ -180,3 +180,25 @@ def test_the_exact_finish_needs_no_counts_by_element(spark, monkeypatch, cells):
     shared = {(i, j): len(np.intersect1d(bags[i], bags[j])) for i in range(80) for j in range(i) if i // 20 != j // 20}
     want = {(j, i) for (i, j), n in shared.items() if n >= 0.8 * (len(bags[i]) + len(bags[j]) - n)}
     assert len(want) > 50 and want <= got
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have written for shuffles."""
+    sc, jvm = spark.sparkContext, spark._jvm
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_few_pairs_do_not_shuffle_all_multisets(spark, monkeypatch, most):
+    """Only what the pairs' nodes have is shuffled if pairs can be broadcast; the links are the same if they can't."""
+    monkeypatch.setattr(neardup, "BROADCAST_NODES", most)
+    rng = np.random.default_rng(8)
+    bags = [np.sort(rng.integers(0, 2**63, 300, dtype=np.uint64)) for _ in range(1000)]
+    bags[7], sig = np.sort(np.concatenate([bags[3][:290], bags[7][:10]])), b"\1" * 4 * neardup.PLACES
+    compared = common.written(spark.createDataFrame([(i, sig, x.tobytes()) for i, x in enumerate(bags)], "node long, sig binary, bag binary").repartition(4))
+    pairs = common.written(spark.createDataFrame([(3, 7), (3, 9), (12, 700)], "a long, b long"))
+    before = shuffled(spark)
+    assert [tuple(r) for r in neardup.verified(pairs, compared, 0.8).collect()] == [(3, 7)]
+    assert most == 0 or shuffled(spark) - before < 100_000  # all multisets are 2.4 MB

@@ -34,7 +34,7 @@ LEAST_ESTIMATE = 0.5
 ROUNDS, SMALL, SPREAD = 6, 32, 1024
 #: Least share of places in which two signatures agree for their nodes to meet in the rounds after the first; below it the exact finish finds them.
 LIKELY = 0.65
-#: So many nodes are broadcast at most (16 MB) when their texts are read again.
+#: So many nodes are broadcast at most (16 MB) when their texts or multisets are read again, and half as many pairs.
 BROADCAST_NODES = 1_000_000
 
 #: Nodes of one shingle that are held at once when its nodes are compared with one another.
@@ -193,13 +193,25 @@ def bags(docs: DataFrame) -> DataFrame:
     return docs.select("text", "node").mapInArrow(make, "node long, bag binary")
 
 
+def among(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """rows without those that are of none of the nodes, left out before a join shuffles them; all rows if the nodes are too many to broadcast."""
+    if nodes.count() > BROADCAST_NODES:
+        return rows
+    return rows.join(F.broadcast(nodes), "node", "left_semi")
+
+
 def verified(pairs: DataFrame, compared: DataFrame, similarity: float) -> DataFrame:
     """a, b of those pairs whose multisets' Jaccard similarity is high enough; compared has the node, sig and bag of each.
 
-    Pairs whose signatures agree too seldom are left out before their multisets are read.
+    Pairs whose signatures agree too seldom are left out before their multisets are read. Pairs that can be broadcast go to
+    the table of their a, and only what their b has is shuffled with them: few pairs don't shuffle the whole table.
     """
-    a = pairs.join(compared.select(F.col("node").alias("a"), F.col("sig").alias("p"), F.col("bag").alias("x")).hint("merge"), "a")
-    both = a.join(compared.select(F.col("node").alias("b"), F.col("sig").alias("q"), F.col("bag").alias("y")).hint("merge"), "b")
+    a, b = (compared.select(F.col("node"), F.col("node").alias(end), F.col("sig").alias(sig), F.col("bag").alias(bag)) for end, sig, bag in (("a", "p", "x"), ("b", "q", "y")))
+    if 2 * pairs.count() <= BROADCAST_NODES:
+        left = a.drop("node").join(F.broadcast(pairs), "a")
+        both = left.join(among(b, pairs.select(F.col("b").alias("node"))).drop("node").hint("merge"), "b")
+    else:
+        both = pairs.join(a.drop("node").hint("merge"), "a").join(b.drop("node").hint("merge"), "b")
 
     def check(batches):
         for batch in batches:
@@ -314,7 +326,7 @@ def apart(rows: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
     among the first n - ceil(similarity n) + 1 of the larger bag and n - ceil(2 similarity / (1 + similarity) n) + 1 of the
     smaller one. That holds in any order: counts by cell, in place of a join with counts by element, only say which are rare.
     """
-    own = written(bag.join(rows.hint("merge"), "node").select("node", "bag", "root"), "unresolved")
+    own = written(among(bag, rows.select("node")).join(rows.hint("merge"), "node").select("node", "bag", "root"), "unresolved")
     first = written(prefixes(own, cell_counts(own), similarity), "prefixes")
     # each token's largest component is not compared with itself
     roots = first.groupBy("token", "root").agg(F.count("*").alias("size")).groupBy("token").agg(F.max_by("root", "size").alias("main"), F.sum("size").alias("all"), F.count("*").alias("roots"))
@@ -383,15 +395,15 @@ def classified(docs: DataFrame, similarity: float, rounds: int) -> DataFrame:
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     spent.append(members := written(members.join(sizes.hint("merge"), "bucket"), "shared"))
     shared = members.count()
-    # texts of the nodes that share a bucket are read again, one row for each
-    spent.append(involved := written(members.select("node").distinct().join(nodes.select("node", "key").hint("merge"), "node"), "involved", shared))
-    ids = involved.select(F.col("key").alias("_key"), F.col("node").alias("_node"))
+    # texts of the nodes that share a bucket are read again, one row for each; signatures and multisets of the others are not compared
+    spent.append(involved := written(members.select("node").distinct().join(nodes.select("node", "key", "sig").hint("merge"), "node"), "involved", shared))
+    sigs, ids = involved.select("node", "sig"), involved.select(F.col("key").alias("_key"), F.col("node").alias("_node"))
     ids = F.broadcast(ids) if involved.count() <= BROADCAST_NODES else ids.hint("merge")
     found = docs.select("text", row_key().alias("_key")).join(ids, "_key")
     spent.append(bag := written(bags(found.select("text", F.col("_node").alias("node"))), "bags"))
     if bag.count() > involved.count():  # rows that are repeated whole
         spent.append(bag := written(bag.groupBy("node").agg(F.max("bag").alias("bag")), "bags"))
-    spent.append(bag := written(bag.join(nodes.select("node", "sig").hint("merge"), "node"), "compared"))
+    spent.append(bag := written(bag.join(sigs.hint("merge"), "node"), "compared"))
     large = members.where(F.col("size") > SMALL)
     edges, tested, roots = None, None, None
     for r in range(rounds):
@@ -405,7 +417,7 @@ def classified(docs: DataFrame, similarity: float, rounds: int) -> DataFrame:
             spent.append(rows := written(rows.join(mixed.hint("merge"), "bucket"), "mixed", shared))
             members = rows.select("bucket", "node", "size")
         if r:
-            pairs = likely_mates(rows.where(F.col("size") > SMALL).join(nodes.select("node", "sig").hint("merge"), "node"), r)
+            pairs = likely_mates(rows.where(F.col("size") > SMALL).join(sigs.hint("merge"), "node"), r)
         else:
             pairs = neighbours(rows)
         if r == 1:  # few are left: in small buckets all nodes of different components meet
